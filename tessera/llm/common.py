@@ -20,6 +20,7 @@ entry a block, so no key is hot, and every group is bounded: a block by
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
@@ -32,7 +33,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 #: Text bytes a block holds on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def ascii_lower(col: Column) -> Column:
@@ -76,8 +77,8 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
 
 
 def slices(n_blocks: int) -> int:
-    """Slices of the key space: a power of two near the number of blocks."""
-    return 1 << max(0, (n_blocks - 1).bit_length())
+    """Slices of the key space: a power of two, so that a slice holds the keys of some four blocks."""
+    return 1 << max(0, (n_blocks - 1).bit_length() - 2)
 
 
 def utf8(table, name: str = "text") -> list[bytes]:
@@ -87,23 +88,60 @@ def utf8(table, name: str = "text") -> list[bytes]:
     return [x or b"" for x in table.column(name).cast(pa.binary()).to_pylist()]
 
 
-def word_ids(texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Ids of all words in order, the distinct words by id, and the number of words of each text."""
-    seen: dict[bytes, int] = {}
-    new = seen.setdefault
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    ids = np.empty(int(lens.sum()), np.int32)
-    at = 0
-    for words in texts:
-        k = len(words)
-        ids[at : at + k] = [new(w, len(seen)) for w in words]
-        at += k
-    return ids, list(seen), lens
+#: Bytes hashed at a time, and the longest token that is hashed so; longer ones are hashed one by one.
+_SEGMENT, _LONG = 1 << 18, 256
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = _SEGMENT + _LONG + 1
+    of_byte = np.fromiter((xxhash.xxh3_64_intdigest(bytes([c])) for c in range(256)), np.uint64, 256)
+    return of_byte, _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of every word of all texts in order, and the number of words of each text.
+
+    A word's hash is a difference of two prefix sums of byte values times powers of an odd number,
+    brought to the same power and mixed: no word becomes an object.
+    """
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    blank = _BLANK[raw]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(raw) and not blank[0]:
+        edge = np.concatenate([[0], edge])
+    lo, hi = edge[0::2], edge[1::2]  # the last byte is a blank, so every word ends
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    lens = np.diff(np.searchsorted(lo, np.concatenate([[0], np.cumsum(sizes)])))
+    of_byte, up, down = _tables()
+    out = np.empty(len(lo), np.uint64)
+    for start in range(0, len(raw), _SEGMENT):
+        i, j = np.searchsorted(lo, (start, start + _SEGMENT))
+        if i == j:
+            continue
+        part = of_byte[raw[start : start + _SEGMENT + _LONG]]
+        part *= up[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        a = lo[i:j] - start
+        b = np.minimum(hi[i:j] - start, len(part))
+        out[i:j] = (sums[b] - sums[a]) * down[a]
+    out += (hi - lo).astype(np.uint64)
+    out = mix64(out)
+    for k in np.flatnonzero(hi - lo > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(raw[lo[k] : hi[k]].tobytes())
+    return out, lens
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

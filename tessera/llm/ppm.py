@@ -36,8 +36,8 @@ from . import common as C
 
 ORDER = 5
 START, END = b"\xfe" * ORDER, b"\xff"
-#: Text bytes a block holds on average; its strings are numbered in tables of a flag for each of at most so many cells, or else sorted.
-BLOCK_BYTES, CELLS = 8 << 20, 1 << 27
+#: The strings of a block are numbered in a table of at most so many cells, or else by sorting.
+CELLS = 1 << 22
 WORDS, STRINGS = 0, 1
 ALPHABET = 256
 
@@ -53,17 +53,29 @@ def is_held_out() -> F.Column:
 
 def numbered(cells: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct cells, ascending, and each cell's place among them."""
-    if n_cells > CELLS:
+    if n_cells <= CELLS:
+        flags = np.zeros(max(n_cells, 1), bool)
+        flags[cells] = True
+        used = np.flatnonzero(flags)
+        place = np.zeros(len(flags), np.int32)
+        place[used] = np.arange(len(used))
+        return used, place[cells]
+    bits = max(len(cells) - 1, 0).bit_length()
+    if n_cells.bit_length() + bits > 63:
         used, at = np.unique(cells, return_inverse=True)
         return used, at.astype(np.int32)
-    flags = np.zeros(-(-max(n_cells, 1) // 64) * 64, bool)
-    flags[cells] = True
-    used = np.flatnonzero(flags)
-    words = np.packbits(flags, bitorder="little").view(np.uint64)
-    before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)])
-    word, bit = cells >> 6, (cells & 63).astype(np.uint64)
-    below = np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
-    return used, before[word].astype(np.int32) + below
+    # A cell and its position in one number: sorting values is several times faster than sorting indexes.
+    packed = cells.astype(np.int64)
+    packed <<= bits
+    packed |= np.arange(len(cells))
+    packed.sort()
+    at = packed & ((1 << bits) - 1)
+    packed >>= bits
+    new = np.ones(len(packed), bool)
+    new[1:] = packed[1:] != packed[:-1]
+    out = np.empty(len(cells), np.int32)
+    out[at] = np.cumsum(new, dtype=np.int32) - 1
+    return packed[new], out
 
 
 class Strings:
@@ -77,15 +89,22 @@ class Strings:
         for k in range(ORDER):
             inside[first + self.lens + k] = False
         inside = inside[: max(len(raw) - ORDER, 0)]
-        pairs = (raw[:-1].astype(np.uint16) << np.uint16(8)) | raw[1:]
-        there = np.flatnonzero(np.bincount(pairs, minlength=1 << 16)) if len(pairs) else np.zeros(1, np.int64)
-        to = np.zeros(1 << 16, np.int64)
+        pairs = raw[:-1].astype(np.uint16)
+        pairs <<= np.uint16(8)
+        pairs |= raw[1:]
+        seen = np.zeros(1 << 16, bool)
+        seen[pairs] = True
+        there = np.flatnonzero(seen) if len(pairs) else np.zeros(1, np.int64)
+        to = np.zeros(1 << 16, np.uint16)
         to[there] = np.arange(len(there))
         number = to[pairs]
+        del pairs, raw
         n = len(inside)
         ids, values, known = number[:n], there.astype(np.uint64), len(there)
         for k in range(2, ORDER + 1, 2):  # two bytes more each time
-            cells = ids * np.int64(len(there)) + number[k : k + n]
+            cells = ids.astype(np.int32 if known * len(there) < 1 << 31 else np.int64)
+            cells *= len(there)
+            cells += number[k : k + n]
             if k == ORDER - 1:
                 cells = cells[inside]
             used, ids = numbered(cells, known * len(there))
@@ -102,13 +121,13 @@ class Block:
     """What a block knows of its own words and strings, in an order that does not depend on that of its rows."""
 
     def __init__(self, table, n_slices: int):
-        self.texts = C.utf8(table)
+        texts = C.utf8(table)
         self.doc_ids = table.column("doc_id")
         self.held = table.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        ids, words, self.lens = C.word_ids([x.lower().split() for x in self.texts])
-        self.keys, to = np.unique(C.word_hashes(words), return_inverse=True)
-        self.word = to[ids] if len(ids) else np.empty(0, np.int64)
-        self.strings = Strings(self.texts)
+        hashes, self.lens = C.token_hashes([x.lower() for x in texts])
+        self.keys, word = np.unique(hashes, return_inverse=True)
+        self.word = word.astype(np.int32)
+        self.strings = Strings(texts)
         self.n_slices = n_slices
 
     def counts(self):
@@ -247,7 +266,7 @@ def adaptive(text: bytes, order: int = ORDER) -> float:
 # --------------------------------------------------------------------------- operator
 
 
-def score(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
     """FIELDS for every row of docs."""
     rows, n_blocks = C.in_blocks(docs, block_bytes)
     rows = rows.withColumn("held", is_held_out())

@@ -40,11 +40,11 @@ class Index:
         self.order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
         texts = C.utf8(table)
         self.ids = [ids[k] for k in self.order]
-        self.words = [texts[k].split() for k in self.order]
-        word, distinct, self.lens = C.word_ids(self.words)
+        self.texts = [texts[k] for k in self.order]
+        hashes, self.lens = C.token_hashes(self.texts)
         rank = np.array([_NULL if i is None else np.uint64(i + (1 << 63)) for i in self.ids], np.uint64)
         owner = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
-        h = C.gram_hashes(C.word_hashes(distinct)[word] if len(word) else np.empty(0, np.uint64), window)
+        h = C.gram_hashes(hashes, window)
         self.at = np.flatnonzero(owner[: len(h)] == owner[window - 1 : window - 1 + len(h)])  # windows within one document
         self.owner = owner
         self.keys, first, self.of = np.unique(h[self.at], return_index=True, return_inverse=True)  # documents are in order of id, so the first has the smallest
@@ -117,10 +117,10 @@ def references(spark: SparkSession, docs: DataFrame, made, schema: str, window:
         base = np.concatenate([[0], np.cumsum(x.lens)])
         cut = np.searchsorted(begin, base)
         out = []
-        for k, (i, words) in enumerate(zip(x.ids, x.words, strict=True)):
+        for k, (i, text) in enumerate(zip(x.ids, x.texts, strict=True)):
             lo, hi = cut[k], cut[k + 1]
             spans = [(int(a - base[k]), int(b - base[k]), int(r) - (1 << 63)) for a, b, r in zip(begin[lo:hi], end[lo:hi], ref[begin[lo:hi]], strict=True)] if hi > lo else []
-            out.append(made(i, words, spans))
+            out.append(made(i, text.split(), spans))
         return pa.Table.from_pylist(out, schema=arrow)
 
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(factor, schema)

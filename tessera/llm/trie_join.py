@@ -61,9 +61,7 @@ class Sets:
 
     def __init__(self, table, size: int = SHINGLE):
         self.ids = table.column("doc_id").to_pylist()
-        words = [x.lower().split() for x in C.utf8(table)]
-        word, distinct, lens = C.word_ids(words)
-        hashes = C.word_hashes(distinct)[word] if len(word) else np.empty(0, np.uint64)
+        hashes, lens = C.token_hashes([x.lower() for x in C.utf8(table)])
         owner = np.repeat(np.arange(len(lens)), lens)
         g = C.gram_hashes(hashes, size)
         at = np.flatnonzero(owner[: len(g)] == owner[size - 1 : size - 1 + len(g)])
@@ -299,7 +297,8 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 #: The plain definition, for tables small enough to compare all pairs that share a shingle.
 SQL = r"""
-WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents),
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(list_slice(words, i, i + 4)) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
