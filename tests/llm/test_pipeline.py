@@ -1,0 +1,43 @@
+import collections
+
+import corpus_pipeline as P
+from tessera.llm import common, crf_secrets, decontam, langmask, mixing, trie_join
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages_are_the_given_ones():
+    assert [n for n, _ in P.STAGES] == ["language_id", "near_duplicates", "decontamination", "secrets", "mixture"]
+
+
+def test_each_stage_does_what_its_operator_decides(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns, clean = docs.columns, spark.read.parquet(f"{DIR}/benchmark.parquet")
+    for name, stage in P.STAGES:
+        out = common.save(spark, stage(spark, docs, DIR))
+        assert out.columns == columns
+        before, after = {r.doc_id: r for r in docs.collect()}, collections.Counter(r.doc_id for r in out.collect())
+        if name == "language_id":
+            judged = langmask.predict(spark, docs, langmask.train(spark, docs)).collect()
+            assert set(after) == {r.doc_id for r in judged if r.lang_pred != "und" and r.score > 0}
+        elif name == "near_duplicates":
+            classes = trie_join.near_duplicates(spark, docs).collect()
+            assert set(after) == {r.component_id for r in classes} and max(after.values()) == 1
+        elif name == "decontamination":
+            assert set(before) - set(after) == {r.doc_id for r in decontam.leaks(spark, docs, clean).collect()}
+        elif name == "secrets":
+            assert set(after) == set(before)
+            for r in out.collect():
+                (spans,) = crf_secrets.scan([before[r.doc_id].text])
+                assert r.text == crf_secrets.redacted(before[r.doc_id].text, spans) and r.n_chars == len(r.text)
+        else:
+            assert after == collections.Counter({r.doc_id: r.copies for r in mixing.copies(docs).collect() if r.copies})
+        docs = out
+    assert sorted(map(tuple, P.run(spark, DIR).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_odd_rows(spark, odd, empty):
+    kept = [c for c in odd.columns]
+    for _, stage in P.STAGES:
+        assert stage(spark, odd, DIR).columns == kept and stage(spark, odd, DIR).count() >= 0
+        assert stage(spark, empty, DIR).collect() == []
