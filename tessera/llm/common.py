@@ -53,14 +53,47 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that outlive executors."""
-    path = shared_folder(spark)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    """Write df to the shared folder and read it back: lineage ends at files that outlive executors.
+
+    The shuffle files of the write are dropped at its end, since nothing reads them again.
+    """
+    path, schema, before = shared_folder(spark), df.schema, spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
+# --------------------------------------------------------------------------- memory of Python tasks
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send documents to Python in batches of so many rows, unless the session says otherwise than the default."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
+def release() -> None:
+    """Give memory that the last block needed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # --------------------------------------------------------------------------- document blocks
 
 
@@ -71,6 +104,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
     unless their texts are equal too.  One very long text makes its block longer by itself.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n

@@ -31,6 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -361,6 +363,7 @@ def scan_rows(docs: DataFrame, fields: str, row, keep: tuple[str, ...] = ()) ->
     rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *[F.col(c).alias(f"_kept_{c}") for c in keep])
     kept = rows.columns[1:]
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [fields])
+    C.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches):
@@ -372,6 +375,7 @@ def scan_rows(docs: DataFrame, fields: str, row, keep: tuple[str, ...] = ()) ->
         names = [x.split() for x in fields.split(", ")]
         f = shared.value
         for whole in batches:
+            C.release()
             for batch in _parts(whole):
                 texts = batch.column("_text").to_pylist()
                 made = [row(x, s) for x, s in zip(texts, scan(texts, f), strict=True)]

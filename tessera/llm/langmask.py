@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common as C
+
 TRAIN_DOCS = 400
 GRAM = 4
 SLOTS = 1 << 21
@@ -108,6 +110,7 @@ class Filters:
 
 def train(spark: SparkSession, docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filters:
     """Filters from at most train_docs documents of each language, those first by hash."""
+    C.small_batches(spark)
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= train_docs).select("doc_id", "lang").distinct()
@@ -143,6 +146,7 @@ def train(spark: SparkSession, docs: DataFrame, train_docs: int = TRAIN_DOCS) ->
 
 def predict(spark: SparkSession, docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, and the columns named in keep."""
+    C.small_batches(spark)
     shared = spark.sparkContext.broadcast(filters)
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").alias("_text"), *[F.col(c).alias(f"_kept_{c}") for c in keep])
     columns = [c for c in rows.columns if c != "_text"]
@@ -153,6 +157,7 @@ def predict(spark: SparkSession, docs: DataFrame, filters: Filters, keep: tuple[
 
         f = shared.value
         for whole in batches:
+            C.release()
             for batch in _parts(whole):
                 texts = batch.column("_text").to_pylist()
                 codes, lens = gram_codes(texts)

@@ -275,6 +275,7 @@ def score(spark: SparkSession, docs: DataFrame, block_bytes: int = C.BLOCK_BYTES
     def count(table):
         import pyarrow as pa
 
+        C.release()
         b = Block(table, n_slices)
         block = table.column("block")[0].as_py()
         made = list(b.counts())
@@ -313,6 +314,7 @@ def score(spark: SparkSession, docs: DataFrame, block_bytes: int = C.BLOCK_BYTES
     def merge(table):
         import pyarrow as pa
 
+        C.release()
         kind, part = table.column("kind")[0].as_py(), table.column("slice")[0].as_py()
         keys, at, lens = C.merge_keys(table.column("keys").to_pylist())
         sent_counts = np.concatenate([C.unpack(x) for x in table.column("counts").to_pylist()])
@@ -344,6 +346,7 @@ def score(spark: SparkSession, docs: DataFrame, block_bytes: int = C.BLOCK_BYTES
     def judge(table, reply):
         import pyarrow as pa
 
+        C.release()
         arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
         if not table.num_rows:
             return arrow.empty_table()

@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SPAN = 24
 SKETCH = 64
 P = np.uint64((1 << 31) - 1)
@@ -172,6 +174,7 @@ def pairs(docs: DataFrame, fn, schema: str, range_bytes: int = RANGE_BYTES) -> D
     The text is shuffled once.  Tasks stream over sorted rows and hold two texts at a time, so a
     range may be of any size.
     """
+    C.small_batches(docs.sparkSession)
     rows, n = ordered(docs, range_bytes)
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     top = rows.groupBy(F.col("part").alias("_p")).agg(F.max(order).alias("_o"))  # a row for each of at most MAX_RANGES ranges: broadcast
@@ -188,6 +191,7 @@ def pairs(docs: DataFrame, fn, schema: str, range_bytes: int = RANGE_BYTES) -> D
 
         arrow, done, before = _arrow(schema), [], None
         for batch in batches:
+            C.release()
             for i, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
                 if before is not None:
                     done.append(fn(*before, text))

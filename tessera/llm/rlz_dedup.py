@@ -65,6 +65,7 @@ def references(spark: SparkSession, docs: DataFrame, made, schema: str, window:
     def send(table):
         import pyarrow as pa
 
+        C.release()
         x, base, block = Index(table, window), _offset(table), table.column("block")[0].as_py()
         edges = C.cuts(x.keys, n_slices)
         out = [(k, C.pack_sorted(x.keys[lo:hi]), C.pack(x.lowest[lo:hi] - base)) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
@@ -75,6 +76,7 @@ def references(spark: SparkSession, docs: DataFrame, made, schema: str, window:
     def answer(table):
         import pyarrow as pa
 
+        C.release()
         keys, at, lens = C.merge_keys(table.column("keys").to_pylist())
         base = table.column("base").to_pylist()
         own = np.concatenate([C.unpack(x) + np.uint64(b + (1 << 63)) for x, b in zip(table.column("lowest").to_pylist(), base, strict=True)])
@@ -93,6 +95,7 @@ def references(spark: SparkSession, docs: DataFrame, made, schema: str, window:
     def factor(table, reply):
         import pyarrow as pa
 
+        C.release()
         arrow = _arrow(schema)
         if not table.num_rows:
             return arrow.empty_table()

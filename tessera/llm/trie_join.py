@@ -86,6 +86,7 @@ def shingle_sets(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame
     def send(table):
         import pyarrow as pa
 
+        C.release()
         s, block = Sets(table), table.column("block")[0].as_py()
         df = np.bincount(s.key, minlength=len(s.keys)).astype(np.uint64)
         edges = C.cuts(s.keys, n_slices)
@@ -96,6 +97,7 @@ def shingle_sets(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame
     def answer(table):
         import pyarrow as pa
 
+        C.release()
         keys, at, lens = C.merge_keys(table.column("keys").to_pylist())
         own = np.concatenate([C.unpack(x) for x in table.column("n").to_pylist()])
         df = np.bincount(at, weights=own, minlength=len(keys)).astype(np.uint64)[at]
@@ -107,6 +109,7 @@ def shingle_sets(docs: DataFrame, block_bytes: int = C.BLOCK_BYTES) -> DataFrame
     def order(table, reply):
         import pyarrow as pa
 
+        C.release()
         arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("shared", pa.list_(pa.int64()))])
         if not table.num_rows:
             return arrow.empty_table()
@@ -234,9 +237,9 @@ def compare(rows: DataFrame, hold_members: bool) -> DataFrame:
 def prefixes(nodes: DataFrame) -> DataFrame:
     """(shingle, node, n): the shared shingles of each node's prefix, where two nodes or more meet."""
     length = F.col("n") - F.expr(f"ceil({PART} * n / {WHOLE}.0)") + 1 - (F.col("n") - F.size("shared"))
-    rank = F.struct((F.size("shared") / F.col("n")).alias("share"), F.size("shared").alias("size"), "node")
+    rank = F.struct((F.size("shared") / F.col("n")).alias("share"), F.size("shared").alias("size"), "node", "n")
     rows = nodes.select(F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("shingle"), "node", "n", rank.alias("rank"))
-    several = rows.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("rank").alias("top")).where("lo < hi").select("shingle", F.col("top.node").alias("centre"))
+    several = rows.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("rank").alias("top")).where("lo < hi").select("shingle", F.col("top.node").alias("centre"), F.col("top.n").alias("centre_n"))
     return rows.drop("rank").join(several, "shingle")
 
 
@@ -255,7 +258,8 @@ def links(spark: SparkSession, sets: DataFrame) -> DataFrame:
 
     # Every node against the centres of its prefix shingles.
     grp = F.concat_ws(":", "centre", _salt())
-    pairs = meet.where("node <> centre").select("centre", "node").distinct()
+    alike = F.least("n", "centre_n") * WHOLE >= F.greatest("n", "centre_n") * PART
+    pairs = meet.where((F.col("node") != F.col("centre")) & alike).select("centre", "node").distinct()
     members = pairs.select(grp.alias("grp"), "node")
     centres = pairs.select(grp.alias("grp"), F.col("centre").alias("node")).distinct()
     first = C.save(spark, compare(_rows(members, nodes, True).unionByName(_rows(centres, nodes, False)), hold_members=False))
