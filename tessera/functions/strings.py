@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _places(a: str) -> dict[str, int]:
@@ -112,7 +113,7 @@ _NAME = (ratio, partial_ratio, token_sort_ratio, token_set_ratio, jaro_winkler)
 _ADDRESS = (ratio, token_sort_ratio, token_set_ratio)
 
 
-@F.pandas_udf(", ".join(f"{f} double" for f in FIELDS))
+@F.pandas_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in FIELDS]))  # no text: workers import this without a session
 def _metrics(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
     rows = []
     for p, q, x, y in zip(n1, n2, a1, a2, strict=True):

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocabulary as V
 
@@ -20,7 +21,7 @@ SPACE = r"[\s\x1c-\x1f\u0085\p{Z}]"
 PUNCTUATION = r"[\p{P}\p{S}&&[\u0000-￿]&&[^&]]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
