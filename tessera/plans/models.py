@@ -19,17 +19,23 @@ from ..operators import features as X
 from ..operators import pairs as L
 
 SEED = 42
+#: A fit is a job for each iteration: tasks are no smaller than this.
+ROWS_A_TASK = 20_000
 
 
 def dataset(d, ratio: int | None = 10) -> DataFrame:
-    """Labelled pairs with features and is_train: whole source-1 records on one side, negatives thinned on the training side."""
-    queries, targets, truths = d.pre("S1"), d.pre("S2"), d.truths
-    kept = B.ranked(B.merged(B.hits(queries, targets)), 50).drop("rn").withColumn("raw_candidate_count", F.lit(0).cast("long"))
+    """Labelled pairs with features and is_train: whole source-1 records on one side, negatives thinned on the training side.
+
+    What several counts and joins read is kept: the records, the capped pairs, and the features,
+    which a fit reads once for each of its iterations.
+    """
+    queries, targets, truths = d.pre("S1").persist(), d.pre("S2").persist(), d.truths
+    kept = B.ranked(B.merged(B.hits(queries, targets)), 50).drop("rn").withColumn("raw_candidate_count", F.lit(0).cast("long")).persist()
     pairs = L.labelled(kept, truths).unionByName(L.recovered(kept, truths, targets))
     split = L.group_split(queries.select(F.col("entity_id").alias("s1_id")))
-    both = pairs.join(split, "s1_id")
+    both = pairs.join(split, "s1_id").persist()
     thinned = L.subsample_negatives(both.where("is_train"), ratio).unionByName(both.where("NOT is_train"))
-    return X.features(X.paired(thinned, queries, targets))
+    return X.features(X.paired(thinned, queries, targets)).persist()
 
 
 def weighted(df: DataFrame) -> DataFrame:
@@ -40,13 +46,15 @@ def weighted(df: DataFrame) -> DataFrame:
 
 def fit(train: DataFrame, kind: str = "logistic") -> PipelineModel:
     """A fitted pipeline from feature columns to prediction; train is read several times, so it is kept while fitting."""
-    rows = weighted(train).persist()
+    rows = weighted(train)
+    n = rows.count()
+    rows = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), -(-n // ROWS_A_TASK)))).persist()
     vector = VectorAssembler(inputCols=list(X.NAMES), outputCol="vector")
     if kind == "logistic":
         stages = [
             vector,
             StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True),
-            LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=1000, regParam=1.0 / max(1, rows.count()), elasticNetParam=0.0, standardization=False),
+            LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=1000, tol=1e-4, regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False),
         ]
     else:
         stages = [vector, GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=20, maxDepth=5, minInstancesPerNode=30, maxBins=256, stepSize=0.1, seed=SEED)]
