@@ -17,6 +17,7 @@ from ..operators import blocking as B
 from ..operators import evaluation as A
 from ..operators import features as X
 from ..operators import pairs as L
+from ..sources.tables import cut
 
 SEED = 42
 #: A fit is a job for each iteration: tasks are no smaller than this.
@@ -26,16 +27,16 @@ ROWS_A_TASK = 20_000
 def dataset(d, ratio: int | None = 10) -> DataFrame:
     """Labelled pairs with features and is_train: whole source-1 records on one side, negatives thinned on the training side.
 
-    What several counts and joins read is kept: the records, the capped pairs, and the features,
-    which a fit reads once for each of its iterations.
+    What several counts and joins read is cut from its plan: the records, the capped pairs, and the
+    features, which a fit reads once for each of its iterations.
     """
-    queries, targets, truths = d.pre("S1").persist(), d.pre("S2").persist(), d.truths
-    kept = B.ranked(B.merged(B.hits(queries, targets)), 50).drop("rn").withColumn("raw_candidate_count", F.lit(0).cast("long")).persist()
+    queries, targets, truths = cut(d.pre("S1")), cut(d.pre("S2")), d.truths
+    kept = cut(B.ranked(B.merged(B.hits(queries, targets)), 50).drop("rn").withColumn("raw_candidate_count", F.lit(0).cast("long")))
     pairs = L.labelled(kept, truths).unionByName(L.recovered(kept, truths, targets))
     split = L.group_split(queries.select(F.col("entity_id").alias("s1_id")))
-    both = pairs.join(split, "s1_id").persist()
-    thinned = L.subsample_negatives(both.where("is_train"), ratio).unionByName(both.where("NOT is_train"))
-    return X.features(X.paired(thinned, queries, targets)).persist()
+    both = cut(pairs.join(split, "s1_id"))
+    thinned = cut(L.subsample_negatives(both.where("is_train"), ratio).unionByName(both.where("NOT is_train")))
+    return cut(X.features(X.paired(thinned, queries, targets)))
 
 
 def weighted(df: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def evaluate(model: PipelineModel, held: DataFrame) -> DataFrame:
     """One row: the tuned threshold, and metrics at it, on held-out pairs (the threshold is tuned on them too, so its F0.5 is optimistic)."""
-    scored = probabilities(model, held).persist()
+    scored = cut(probabilities(model, held))
     threshold = A.best_threshold(scored).first()[0]
     out = A.confusion(scored, threshold).withColumn("threshold", F.lit(threshold))
     return out.crossJoin(F.broadcast(A.average_precision(scored)))  # single rows

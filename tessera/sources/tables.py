@@ -73,3 +73,15 @@ def measured(into: dict):
     yield into
     into["seconds"] = time.perf_counter() - began
     into["peak_mb"] = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from files in the shared checkpoint folder: later plans begin there, and survive lost executors.
+
+    The folder is that of spark.checkpoint.dir; one under the warehouse is set only where none is.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()
