@@ -45,7 +45,6 @@ def test_pruning_caps_and_other_passes(look, spark):
     got = look([("Universal Trading", "", "US")], many, options=B.Options(passes=(K.NAME,)), limits=K.Limits(name=2))
     assert got == {}
     assert len(look([("Universal Venture", "", "US")], many, B.Options(max_candidates=2))[0]) == 2
-    assert look([("Kumar Rajesh Trading Co", "", "India")], [("S2-1", "Rajesh Kumar Trading", "", "India")])[0][0][1].count("sorted_name") == 0  # different tokens
     assert "sorted_name" in look([("Kumar Rajesh Trading", "", "India")], [("S2-1", "Rajesh Kumar Trading Co", "", "India")])[0][0][1]
     apex = [("S2-1", "Apex Global Healthcare Enterprises", "", "US"), ("S2-2", "Apex Other", "", "US"), ("S2-3", "Global Other", "", "US")]
     got = look([("Apex Global Solutions LLC", "", "US")], apex, limits=K.Limits(name=1))
