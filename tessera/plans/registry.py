@@ -30,12 +30,12 @@ SMALL = K.Limits(name=40, address=20, bigram=10, block=60)
 class Data:
     """The relations that queries start from, each made once for a query."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.dir, self.whole = spark, sf_dir, whole
 
     @property
     def src(self) -> DataFrame:
-        return adapters.sources(self.spark, self.dir)
+        return adapters.sources(self.spark, self.dir, self.whole)
 
     @property
     def truth(self) -> DataFrame:
@@ -63,8 +63,9 @@ class Data:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Data(spark, sf_dir)
-    return B.candidates(d.pre("S1"), d.pre("S2"), "S2").drop("blocking_methods")
+    """Candidates of source 1 in both other sources, over whole texts."""
+    d = Data(spark, sf_dir, whole=True)
+    return B.candidates(d.pre("S1"), d.pre("S2"), "S2").unionByName(B.candidates(d.pre("S1"), d.pre("S3"), "S3")).drop("blocking_methods")
 
 
 def _joined(df: DataFrame, *arrays: str) -> DataFrame:
@@ -269,7 +270,8 @@ def _ascii_similarity(d: Data) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Data(spark, sf_dir))) for name, (f, _) in _entries().items()}
+    """Queries without SQL read whole texts; the others read the records that their SQL makes."""
+    return {name: (lambda spark, sf_dir, f=f, sql=sql: f(Data(spark, sf_dir, whole=sql is None))) for name, (f, sql) in _entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:

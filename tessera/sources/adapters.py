@@ -4,6 +4,9 @@ Records come from ``documents``: the name is the first four words, the address t
 the country follows from the language.  Source 1 has the documents with ids divisible by three;
 sources 2 and 3 have the others, and copies of source 1 with a legal form added, two words
 swapped or the address left out, whose links are the ground truth.
+
+``whole`` records keep the whole text: the address is all that follows the name.  The SQL below
+holds the short ones.
 """
 
 from __future__ import annotations
@@ -14,16 +17,16 @@ from pyspark.sql import functions as F
 COUNTRIES = {"en": "US", "fr": "France", "de": "India"}
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     country = F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv])
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.slice(words, 1, 12).alias("w"), F.coalesce(F.try_element_at(country, F.coalesce("lang", F.lit(""))), F.lit("")).alias("country"))
-    return docs.select("doc_id", F.slice("w", 1, 4).alias("n"), F.array_join(F.slice("w", 5, 8), " ").alias("address"), "country")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (words if whole else F.slice(words, 1, 12)).alias("w"), F.coalesce(F.try_element_at(country, F.coalesce("lang", F.lit(""))), F.lit("")).alias("country"))
+    return docs.select("doc_id", F.slice("w", 1, 4).alias("n"), F.array_join(F.slice("w", F.lit(5), F.greatest(F.size("w"), F.lit(1))), " ").alias("address"), "country")
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sources(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """(entity_id, business_name, business_address, country, source) of all three sources."""
-    d = _documents(spark, sf_dir)
+    d = _documents(spark, sf_dir, whole)
     name = F.array_join("n", " ")
     swapped = F.when(F.size("n") >= 2, F.array_join(F.concat(F.array(F.element_at("n", 2), F.element_at("n", 1)), F.slice("n", 3, 2)), " ")).otherwise(name)
     address = F.when(F.col("doc_id") % 20 == 0, "").otherwise(F.col("address"))
