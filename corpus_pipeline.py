@@ -19,17 +19,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != langmask.UNDECIDED) & (F.col("score") > 0)).select(*docs.columns)
 
 
+def _key(docs: DataFrame) -> F.Column:
+    """A fingerprint of a whole row: never null, and equal for rows that are equal in all columns."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the smallest id.  Texts without words are in no class and stay."""
-    classes = trie_join.near_duplicates(spark, docs.select("doc_id", "text"))
-    kept = common.save(spark, classes.where("doc_id = component_id").select("doc_id").distinct())
-    # rows that repeat the kept id are one document
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each class of near duplicates stays: the one with the smallest id, or one without an id if the class has no other.
+
+    Rows are told apart by their fingerprints, not by ids, which may be null or repeat.  Texts
+    without words are in no class and all stay.
+    """
+    rows = docs.withColumn("_key", _key(docs))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    some = rows.where(worded)
+    classes = trie_join.near_duplicates(spark, some.select(F.col("_key").alias("doc_id"), "text"))
+    named = classes.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(some.select("_key", "doc_id").distinct(), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_key")).alias("first")
+    kept = common.save(spark, named.groupBy("component_id").agg(first).select("first._key"))
+    one = some.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return one.unionByName(rows.where(~worded)).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
-    return decontam.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Rows that hold an item of the benchmark go, whatever their id."""
+    rows = docs.withColumn("_key", _key(docs))
+    found = decontam.leaks(spark, rows.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(common.save(spark, found.select(F.col("doc_id").alias("_key")).distinct()), "_key", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,19 @@ def test_odd_rows(spark, odd, empty):
     for _, stage in P.STAGES:
         assert stage(spark, odd, DIR).columns == kept and stage(spark, odd, DIR).count() >= 0
         assert stage(spark, empty, DIR).collect() == []
+
+
+def test_null_and_repeated_ids_keep_one_row_a_class(spark, make):
+    clean = [" ".join(f"{p}{k}" for k in range(30)) for p in "abcdefg"]
+    near = clean[0] + " more"
+    data = [(None, clean[0]), (5, near), (3, near), (None, clean[1]), (None, clean[1]), (None, clean[2]), (7, clean[3]), (7, clean[4]), (7, clean[4]), (None, None), (None, ""), (8, " "), (8, " ")]
+    docs = make([(i, t, "en", "s", None, None, None) for i, t in data])
+    want = [(3, near), (None, clean[1]), (None, clean[2]), (7, clean[3]), (7, clean[4]), (None, None), (None, ""), (8, " "), (8, " ")]
+    assert collections.Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, DIR).collect()) == collections.Counter(want)
+
+
+def test_leaks_go_by_row_and_not_by_id(spark, make, tmp_path):
+    item, clean = " ".join(f"q{k}" for k in range(20)), " ".join(f"c{k}" for k in range(20))
+    spark.createDataFrame([("i1", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = make([(i, t, "en", "s", None, None, None) for i, t in [(None, item), (None, clean), (4, item), (4, clean)]])
+    assert sorted(((r.doc_id, r.text) for r in P.decontaminate(spark, docs, str(tmp_path)).collect()), key=repr) == sorted([(None, clean), (4, clean)], key=repr)
