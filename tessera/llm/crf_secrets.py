@@ -12,8 +12,9 @@ all lines at once, Adam, a square penalty) on ``TRAIN_LINES`` generated lines of
 configuration whose secrets are known; its weights, a fixed size, are broadcast.
 
 Decoding is exact and skips nothing that could change: where a token's score for outside is
-above its others by more than all transitions together could give back, every best path has it
-outside, so chains are cut there and only the rest is decoded token by token.  Shapes and
+above its others by more than all transitions together, and the next token's turn from inside to
+begin, could give back, every best path has it outside, so chains are cut there and only the rest
+is decoded token by token.  Shapes and
 scores are looked up for whole batches with numpy.
 
 Defined cases: null or empty text has no spans; a text of any length is scanned whole; rows are
@@ -162,10 +163,12 @@ def decode(f: Field, t: Tokens) -> np.ndarray:
         after = key[key + d < n]
         after = after[t.owner[after + d] == t.owner[after]]
         e[after + d] += table[words[after]] - table[0]
-    # The most that transitions on both sides of a token could give back.
+    # The most that three transitions could give back: with a token, an inside after it has to turn to begin.
     legal = f.step[f.step > ILLEGAL / 2]
-    slack = 2 * (legal.max() - legal.min())
-    open_ = np.flatnonzero(e[:, 1:].max(1) + slack >= e[:, 0])
+    slack = 3 * (legal.max() - legal.min())
+    turn = np.zeros(n)
+    turn[:-1] = np.where(t.owner[1:] == t.owner[:-1], np.maximum(e[1:, INSIDE] - e[1:, BEGIN], 0), 0)
+    open_ = np.flatnonzero(e[:, 1:].max(1) + slack + turn >= e[:, 0])
     if not len(open_):
         return tags
     cut = np.flatnonzero((np.diff(open_) > 1) | (t.owner[open_[1:]] != t.owner[open_[:-1]])) + 1

@@ -67,3 +67,14 @@ def test_redaction_keeps_columns_and_nulls(spark, make):
     assert S.redact(df).columns == df.columns
     assert [r.text for r in got] == [None, "clean text", "my [secret] here"]
     assert [r.n_chars for r in got] == [None, 10, 16]
+
+
+def test_decoding_with_cuts_equals_plain_viterbi_for_any_weights():
+    rng, differ = np.random.default_rng(3), random.Random(3)
+    for _ in range(200):
+        f = S.Field()
+        for k in ("own", "prev", "next", "size", "file"):
+            getattr(f, k)[:] = rng.normal(0, 4, getattr(f, k).shape)
+        f.step[:] = np.where(f.step > S.ILLEGAL / 2, rng.normal(0, 0.1, f.step.shape), S.ILLEGAL)
+        t = S.Tokens([" ".join("".join(differ.choice("aA1=+.") for _ in range(differ.randint(1, 30))) for _ in range(25)).encode()])
+        assert S._viterbi(f.score(t, *S._context(t)), f.step) == S.decode(f, t).tolist()
