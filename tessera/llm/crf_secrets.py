@@ -5,7 +5,7 @@ The patterns give the base spans: ``assign`` (a named value), ``access`` (an acc
 tags every blank-separated token as begin, inside or outside of a secret; its features are the
 token's shape (classes of characters, length), the shapes and key words of the neighbouring
 tokens, and a file feature (how much of the text is code-like).  What it tags and no base span
-touches is added as kind ``crf``.
+covers is added as kind ``crf``, in parts where base spans cut it.
 
 The field is trained here, on the driver, by its conditional likelihood (forward-backward over
 all lines at once, Adam, a square penalty) on ``TRAIN_LINES`` generated lines of prose, code and
@@ -316,7 +316,8 @@ def trained(lines: int = TRAIN_LINES, steps: int = STEPS, seed: int = 7, penalty
 def scan(texts: list[str], f: Field | None = None) -> list[list[tuple[int, int, int]]]:
     """All spans of each text as (start, kind, end), ascending."""
     f = f or trained()
-    out = [base_spans(x) for x in texts]
+    base = [base_spans(x) for x in texts]
+    out = [list(x) for x in base]
     blobs = [x.encode("utf-8", "surrogatepass") for x in texts]
     t = Tokens(blobs)
     tags = decode(f, t)
@@ -331,18 +332,29 @@ def scan(texts: list[str], f: Field | None = None) -> list[list[tuple[int, int,
         lo, hi = int(t.lo[hit[i]]) - at, int(t.hi[hit[j]]) - at
         start = len(blob[:lo].decode("utf-8", "surrogatepass"))
         end = start + len(blob[lo:hi].decode("utf-8", "surrogatepass"))
-        start, end = _trim(texts[k], start, end)
-        if end > start and not any(s < end and start < e for s, _, e in out[k]):
-            out[k].append((start, 3, end))
+        out[k] += [(s, 3, e) for s, e in _uncovered(texts[k], start, end, base[k])]
         i = j + 1
     return [sorted(x) for x in out]
 
 
+def _uncovered(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no base span covers, trimmed."""
+    parts = []
+    for s, _, e in base:
+        if s >= end:
+            break
+        if s > start:
+            parts.append((start, s))
+        start = max(start, e)
+    trimmed = (_trim(text, s, e) for s, e in [*parts, (start, end)])
+    return [(s, e) for s, e in trimmed if e > s]
+
+
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
-    """Without the quotes and marks around a value."""
-    while start < end and text[start] in "\"'`([{<":
+    """Without the quotes, marks and blanks around a value."""
+    while start < end and text[start] in "\"'`([{< \t\n\v\f\r":
         start += 1
-    while start < end and text[end - 1] in "\"'`)]}>.,;:!?":
+    while start < end and text[end - 1] in "\"'`)]}>.,;:!? \t\n\v\f\r":
         end -= 1
     return start, end
 

@@ -78,3 +78,14 @@ def test_decoding_with_cuts_equals_plain_viterbi_for_any_weights():
         f.step[:] = np.where(f.step > S.ILLEGAL / 2, rng.normal(0, 0.1, f.step.shape), S.ILLEGAL)
         t = S.Tokens([" ".join("".join(differ.choice("aA1=+.") for _ in range(differ.randint(1, 30))) for _ in range(25)).encode()])
         assert S._viterbi(f.score(t, *S._context(t)), f.step) == S.decode(f, t).tolist()
+
+
+def test_parts_that_no_base_span_covers_are_added(monkeypatch):
+    run = "0123456789abcdef"
+    text = f"x GHIJKLMN{run}OPQRSTUV y"
+    monkeypatch.setattr(S, "decode", lambda f, t: np.array([0, 1, 0], np.int8))
+    (spans,) = S.scan([text])
+    assert [(S.KINDS[k], text[a:b]) for a, k, b in spans] == [("crf", "GHIJKLMN"), ("hex", run), ("crf", "OPQRSTUV")]
+    redacted = S.redacted(text, spans)
+    assert redacted.startswith("x [secret]") and redacted.endswith("[secret] y") and not any(p in redacted for p in ("GHIJKLMN", run, "OPQRSTUV"))
+    assert S._uncovered(f"'{run}', ", 0, 20, [(1, 2, 17)]) == []  # quotes and marks alone are no part
