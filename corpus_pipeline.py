@@ -14,9 +14,9 @@ from tessera.llm import common, crf_secrets, decontam, langmask, mixing, trie_jo
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language go on; those without a letter or an n-gram of any language known are rejected.  ``lang`` is as it was."""
+    """Documents with a language go on; those that op5 gives none (no letter, or no language learned) are rejected.  ``lang`` is as it was."""
     judged = langmask.predict(spark, docs, langmask.train(spark, docs), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return judged.where((F.col("lang_pred") != langmask.UNDECIDED) & (F.col("score") > 0)).select(*docs.columns)
+    return judged.where(F.col("lang_pred") != langmask.UNDECIDED).select(*docs.columns)
 
 
 def _key(docs: DataFrame) -> F.Column:

@@ -55,6 +55,9 @@ def gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     blank = raw == 32
     keep = np.ones(len(raw), bool)
     keep[1:] = ~(blank[1:] & blank[:-1]) | (owner[1:] != owner[:-1])
+    # one letter and its blanks are a byte short of an n-gram: the last blank stays
+    short = np.bincount(owner[keep], minlength=len(blobs)) == GRAM - 1
+    keep[np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)))[short] - 1] = True
     b, owner = raw[keep].astype(np.uint32), owner[keep]
     if len(b) < GRAM:
         return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)

@@ -66,3 +66,9 @@ def test_language_and_id_are_no_inputs(spark, make):
     one = {r.doc_id: r.lang_pred for r in L.predict(spark, make(data), f).collect()}
     two = {r.doc_id - 1000: r.lang_pred for r in L.predict(spark, make([(r[0] + 1000, r[1], "zz", "other", 0, None, None) for r in data]), f).collect()}
     assert one == two
+
+
+def test_one_letter_has_an_n_gram():
+    codes, lens = L.gram_codes(["a", "5 g", "", "12", "ab"])
+    assert lens.tolist() == [1, 1, 0, 0, 1]
+    assert [int(c).to_bytes(4, "big") for c in codes] == [b" a  ", b" g  ", b" ab "]

@@ -57,3 +57,9 @@ def test_leaks_go_by_row_and_not_by_id(spark, make, tmp_path):
     spark.createDataFrame([("i1", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = make([(i, t, "en", "s", None, None, None) for i, t in [(None, item), (None, clean), (4, item), (4, clean)]])
     assert sorted(((r.doc_id, r.text) for r in P.decontaminate(spark, docs, str(tmp_path)).collect()), key=repr) == sorted([(None, clean), (4, clean)], key=repr)
+
+
+def test_language_rejects_only_the_undecided(spark, make):
+    data = [(k, f"the common words of text {k % 3}", "en", "s", None, None, None) for k in range(40)]
+    data += [(100, "zzqqxxjj", None, "s", None, None, None), (101, "5 g", None, "s", None, None, None), (102, "12 %", None, "s", None, None, None), (103, None, None, "s", None, None, None)]
+    assert {r.doc_id for r in P.language(spark, make(data), DIR).collect()} == {*range(40), 100, 101}
