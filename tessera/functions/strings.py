@@ -20,19 +20,42 @@ def _places(a: str) -> dict[str, int]:
     return at
 
 
-def lcs(a: str, b: str, at: dict[str, int] | None = None) -> int:
-    """Length of the longest common subsequence."""
-    if not a or not b:
-        return 0
-    at = at if at is not None else _places(a)
+def _common(a: str, b: str) -> int:
+    """Length of the longest common prefix, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def _bits(a: str, b: str, at: dict[str, int]) -> int:
     full = (1 << len(a)) - 1
-    row = full
+    row, get = full, at.get
     for c in b:
-        u = row & at.get(c, 0)
-        row = (row + u | row - u) & full
+        u = get(c)
+        if u is not None:
+            u &= row
+            row = (row + u | row - u) & full
     return len(a) - row.bit_count()
 
 
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence; what both begin or end with is part of one."""
+    k = _common(a, b)
+    a, b = a[k:], b[k:]
+    if not a or not b:
+        return k
+    e = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - e], b[: len(b) - e]
+    if len(a) > len(b):  # the shorter one is passed over, on a longer bit vector
+        a, b = b, a
+    return k + e + (_bits(b, a, _places(b)) if a else 0)
+
+
 def ratio(a: str, b: str) -> float:
     """1 for two empty strings."""
     return 1.0 if a == b else 2.0 * lcs(a, b) / (len(a) + len(b))
@@ -46,19 +69,20 @@ def partial_ratio(a: str, b: str) -> float:
         return 1.0 if not b else 0.0
     if a in b:
         return 1.0
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) else best
+
+
+def _best_window(a: str, b: str) -> float:
+    """The best ratio of a with a window of b of its length, or a shorter one at either end."""
     m, at, best = len(a), _places(a), 0.0
+    known = [0]  # letters of b up to each place that a has: no window shares more with a
+    for c in b:
+        known.append(known[-1] + (c in at))
     for end in range(1, len(b) + m):
         lo, hi = max(0, end - m), min(end, len(b))
-        # only windows that end (or, at the end, begin) with a letter of the shorter string can be best
-        if b[hi - 1] not in at and hi < len(b) or b[lo] not in at and hi == len(b):
-            continue
-        if 2.0 * min(m, hi - lo) / (m + hi - lo) > best:
-            best = max(best, 2.0 * lcs(a, b[lo:hi], at) / (m + hi - lo))
-    if len(a) == len(b):
-        n, at = len(b), _places(b)
-        for end in range(1, 2 * n):
-            lo, hi = max(0, end - n), min(end, n)
-            best = max(best, 2.0 * lcs(b, a[lo:hi], at) / (n + hi - lo))
+        if 2.0 * min(m, known[hi] - known[lo]) / (m + hi - lo) > best:
+            best = max(best, 2.0 * _bits(a, b[lo:hi], at) / (m + hi - lo))
     return best
 
 
@@ -75,24 +99,26 @@ def token_set_ratio(a: str, b: str) -> float:
         return 1.0
     first, second = f"{both} {one}".strip(), f"{both} {two}".strip()
     best = ratio(first, second)
-    return max(best, ratio(both, first), ratio(both, second)) if both else best
+    # the common words begin both: their ratio to either is known
+    return max(best, *(2.0 * len(both) / (len(both) + len(x)) for x in (first, second))) if both else best
 
 
 def jaro(a: str, b: str) -> float:
     if not a or not b:
         return 1.0 if a == b else 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, matched = [False] * len(b), []
+    left, matched = list(b), []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                matched.append(c)
-                break
+        try:
+            j = left.index(c, max(0, i - reach), min(len(b), i + reach + 1))
+        except ValueError:
+            continue
+        left[j] = None
+        matched.append(c)
     k = len(matched)
     if not k:
         return 0.0
-    swaps = sum(x != y for x, y in zip(matched, (c for c, u in zip(b, used, strict=True) if u), strict=True)) // 2
+    swaps = sum(x != y for x, y in zip(matched, (c for c, u in zip(b, left, strict=True) if u is None), strict=True)) // 2
     return (k / len(a) + k / len(b) + (k - swaps) / k) / 3
 
 

@@ -1,24 +1,68 @@
 """Normalisation of names and addresses as column expressions (P1 to P10).
 
-Only NFKC crosses to Python, once per column and in Arrow batches; all else stays in the JVM.
+NFKC has no built-in, so texts cross to Python in Arrow batches, names and addresses together and
+once.  What can be done to the whole text while it is there is done there, at a fraction of what
+the same chain of JVM expressions costs; tokens, legal forms and all that follows stay in the JVM.  Character classes are tables made from Python's own
+Unicode data, so that no engine's idea of a category matters.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import vocabulary as V
 
 #: All that Python's \\s matches, for Java's engine.
 SPACE = r"[\s\x1c-\x1f\u0085\p{Z}]"
-#: Punctuation and symbols of the basic plane except the ampersand.
-PUNCTUATION = r"[\p{P}\p{S}&&[\u0000-￿]&&[^&]]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+@functools.cache
+def _spaces() -> str:
+    return "".join(c for c in map(chr, range(0x10000)) if c.isspace() and c != " ")
+
+
+@functools.cache
+def _marks() -> str:
+    """Punctuation and symbols of the basic plane except the ampersand, and white space."""
+    return _spaces() + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] in "PS" and c != "&")
+
+
+def _blanked(text: Column, characters: str) -> Column:
+    """text with each of the characters as a blank, without blanks at the ends or two in a row."""
+    return F.trim(F.regexp_replace(F.translate(text, characters, " " * len(characters)), " {2,}", " "))
+
+
+@functools.cache
+def _mark_runs() -> re.Pattern:
+    return re.compile(f"[{re.escape(_marks())}]+")
+
+
+@functools.cache
+def _accent_marks() -> re.Pattern:
+    return re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in V.MARK_RANGES) + "]+")
+
+
+def plain(text: str) -> str:
+    """Unicode compatibility form, lower case, ampersand as the word and, marks and white space as single blanks."""
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return " ".join(_mark_runs().sub(" ", text.lower().replace("&", " and ")).split())
+
+
+def unaccented(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFC", _accent_marks().sub("", unicodedata.normalize("NFD", text)))
 
 
 @F.pandas_udf(StringType())
@@ -26,6 +70,18 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(StringType())
+def _plain(text: pd.Series) -> pd.Series:
+    return text.map(plain)
+
+
+@F.pandas_udf(StructType([StructField("cons", StringType()), StructField("norm", StringType())]))  # no text: workers import this without a session
+def _address(text: pd.Series) -> pd.DataFrame:
+    cons = text.map(plain)
+    short = lambda x: " ".join(unaccented(" ".join(V.ADDRESS_SHORT.get(w, w) for w in x.split())).split())
+    return pd.DataFrame({"cons": cons, "norm": cons.map(short)})
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -41,7 +97,7 @@ def lower(text: Column) -> Column:
 
 def whitespace(text: Column) -> Column:
     """Runs of any white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(filled(text), f"{SPACE}+", " "))
+    return _blanked(filled(text), _spaces())
 
 
 def punctuation(text: Column, keep_ampersand: bool = False) -> Column:
@@ -49,7 +105,7 @@ def punctuation(text: Column, keep_ampersand: bool = False) -> Column:
     text = filled(text)
     if not keep_ampersand:
         text = F.replace(text, F.lit("&"), F.lit(" and "))
-    return whitespace(F.regexp_replace(text, PUNCTUATION, " "))
+    return _blanked(text, _marks())
 
 
 @functools.cache
@@ -93,39 +149,50 @@ def last_words() -> list[str]:
     return sorted({s.split()[-1] for s in (*V.SUFFIXES_EN, *V.SUFFIXES_FR, *V.SUFFIXES_HI)})
 
 
-def _quoted(words) -> str:
-    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+def _table(pairs: dict[str, str]) -> Column:
+    """A constant map column."""
+    return F.expr("map(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for pair in pairs.items() for x in pair) + ")")
 
 
-def _table(country: str | None) -> str:
-    return "array(" + ", ".join(f"struct(array({_quoted(s.split())}) AS w, '{V.SUFFIX_CANONICAL.get(s, '')}' AS c)" for s in suffixes(country)) + ")"
+def _forms(country: str | None) -> str:
+    """Java pattern: a legal form at the end of blank-joined words; the earliest find is the longest form."""
+    return "(?:^| )(" + "|".join(map(re.escape, suffixes(country))) + ")$"
 
 
-def _strip_loop(plain: str, country: str | None) -> str:
-    """SQL: (n, c) after taking legal forms off the end of an array of words, as often as one fits."""
-    stop = _quoted(V.STOP_WORDS)
-    fit = f"""filter({_table(country)}, s -> size(s.w) < st.n AND slice({plain}, st.n - size(s.w) + 1, size(s.w)) = s.w
-        AND exists(slice({plain}, 1, st.n - size(s.w)), t -> t NOT IN ({stop})))"""
-    step = f"transform(array(try_element_at({fit}, 1)), f -> IF(f IS NULL, st, named_struct('n', st.n - size(f.w), 'c', IF(st.c = '', f.c, st.c))))[0]"
-    return f"aggregate(sequence(1, size({plain})), named_struct('n', size({plain}), 'c', ''), (st, k) -> {step})"
+def _stripped(words: Column, country: str | None) -> Column:
+    """(n, c) after taking legal forms off the end of words, as often as one fits.
 
+    The first word that is no stop word and what comes before it are never taken.
+    """
+    longest = max(len(s.split()) for s in suffixes(country))
+    canonical = _table(V.SUFFIX_CANONICAL)
+    state = lambda n, c, going: F.struct(n.cast("int").alias("n"), c.alias("c"), going.alias("going"))
 
-def suffix_of(words: str, country: str) -> Column:
-    """(n, c): how many words are left of an array column without its legal forms, and the short form of the last of them.
+    def step(p: Column, first: Column, st: Column) -> Column:
+        begin = F.greatest(first, st["n"] - longest)
+        tail = F.array_join(F.slice(p, begin + 1, F.greatest(st["n"] - begin, F.lit(0))), " ")
+        taken = lambda form: st["n"] - 1 - (F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))))
+        short = lambda form: F.when(st["c"] == "", F.coalesce(F.try_element_at(canonical, form), F.lit(""))).otherwise(st["c"])
+        found = let(F.regexp_extract(tail, _forms(country), 1), lambda form: F.when(form == "", state(st["n"], st["c"], F.lit(False))).otherwise(state(taken(form), short(form), F.lit(True))))
+        return F.when(st["going"], found).otherwise(st)
 
-    words and country name columns.  What ends in no legal form's last word is passed over.
-    """
-    before, after = (x.replace("\\", "\\\\").replace("'", "\\'") for x in _accents())
-    plain = f"transform({words}, t -> translate(lower(t), '{before}', '{after}'))"
-    tail = f"translate(lower(try_element_at({words}, -1)), '{before}', '{after}')"
-    whole = f"named_struct('n', size({words}), 'c', '')"
+    def strip(p: Column) -> Column:
+        first = F.array_position(F.transform(p, lambda t: t.isin(*V.STOP_WORDS)), False).cast("int")
+        return let(first, lambda f: F.aggregate(p, state(F.size(p), F.lit(""), f > 0), lambda st, _: step(p, f, st)))
+
+    return let(F.transform(words, lambda t: strip_accents(F.lower(t))), strip)
 
-    def loop(name):
-        # the words are made plain once, then seen as p
-        return f"transform(array({plain}), p -> {_strip_loop('p', name)})[0]"
 
-    return F.expr(f"""CASE WHEN size({words}) < 2 OR {tail} IS NULL OR {tail} NOT IN ({_quoted(last_words())}) THEN {whole}
-        WHEN {country} = 'France' THEN {loop("France")} WHEN {country} = 'India' THEN {loop("India")} ELSE {loop(None)} END""")
+def suffix_of(words: Column, country: Column) -> Column:
+    """(n, c): how many of the words are left without their legal forms, and the short form of the last of them.
+
+    What ends in no legal form's last word is passed over.
+    """
+    tail = strip_accents(F.lower(F.try_element_at(words, F.lit(-1))))
+    ends = F.coalesce(tail.isin(*last_words()), F.lit(False))
+    whole = F.struct(F.size(words).alias("n"), F.lit("").alias("c"))
+    of = lambda name: let(_stripped(words, name), lambda st: F.struct(st["n"].alias("n"), st["c"].alias("c")))
+    return F.when((F.size(words) < 2) | ~ends, whole).when(country == "France", of("France")).when(country == "India", of("India")).otherwise(of(None))
 
 
 # --------------------------------------------------------------------------- names, addresses, records
@@ -136,7 +203,7 @@ def words_of(text: Column) -> Column:
 
 
 def conservative(text: Column) -> Column:
-    return punctuation(F.lower(nfkc(text)))
+    return _plain(filled(text))
 
 
 def without_honorific(normalized: Column) -> Column:
@@ -147,30 +214,32 @@ def without_honorific(normalized: Column) -> Column:
 
 def normalized_names(df: DataFrame, name: str = "business_name", country: str = "country", strip_suffix: bool = True) -> DataFrame:
     """df with name_raw, name_conservative, name_normalized, name_corporate_suffix and name_tokens."""
-    df = df.withColumn("name_raw", filled(F.col(name))).withColumn("name_conservative", conservative(F.col(name)))
-    df = df.withColumn("_words", words_of(F.col("name_conservative")))
-    if strip_suffix:
-        df = df.withColumn("_suffix", suffix_of("_words", f"`{country}`"))
-        core = F.array_join(F.slice("_words", F.lit(1), F.col("_suffix.n")), " ")
-        df = df.withColumn("name_corporate_suffix", F.col("_suffix.c"))
-    else:
-        core, df = F.col("name_conservative"), df.withColumn("name_corporate_suffix", F.lit(""))
-    plain = whitespace(strip_accents(core))
-    df = df.withColumn("name_normalized", F.when(plain != "", plain).otherwise(F.col("name_conservative")))
-    return df.withColumn("name_tokens", words_of(F.col("name_normalized"))).drop("_words", "_suffix")
+
+    def fields(cons: Column, core: Column, suffix: Column) -> Column:
+        named = lambda norm: F.struct(cons.alias("cons"), norm.alias("norm"), suffix.alias("suffix"), words_of(norm).alias("tokens"))
+        return let(whitespace(strip_accents(core)), lambda plain: let(F.when(plain != "", plain).otherwise(cons), named))
+
+    def made(cons: Column) -> Column:
+        if not strip_suffix:
+            return fields(cons, cons, F.lit(""))
+        core = lambda w, s: F.array_join(F.slice(w, F.lit(1), s["n"]), " ")
+        return let(words_of(cons), lambda w: let(suffix_of(w, F.col(country)), lambda s: fields(cons, core(w, s), s["c"])))
+
+    df = df.withColumn("_n", let(conservative(F.col(name)), made))
+    return df.withColumns({
+        "name_raw": filled(F.col(name)), "name_conservative": F.col("_n.cons"), "name_normalized": F.col("_n.norm"),
+        "name_corporate_suffix": F.col("_n.suffix"), "name_tokens": F.col("_n.tokens"),
+    }).drop("_n")
 
 
 def normalized_addresses(df: DataFrame, address: str = "business_address") -> DataFrame:
     """df with addr_raw, addr_is_empty, addr_conservative, addr_normalized and addr_tokens; a blank address is empty throughout."""
-    blank = whitespace(F.col(address)) == ""
-    plain = conservative(F.col(address))
-    short = F.create_map(*[F.lit(x) for pair in V.ADDRESS_SHORT.items() for x in pair])
-    df = df.withColumn("_blank", blank).withColumn("addr_conservative", F.when(F.col("_blank"), "").otherwise(plain))
-    df = df.withColumn("addr_is_empty", F.col("_blank") | (F.col("addr_conservative") == ""))
-    mapped = F.array_join(F.transform(words_of(F.col("addr_conservative")), lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
-    df = df.withColumn("addr_normalized", whitespace(strip_accents(mapped)))
-    df = df.withColumn("addr_raw", F.when(F.col("_blank"), "").otherwise(F.col(address)))
-    return df.withColumn("addr_tokens", words_of(F.col("addr_normalized"))).drop("_blank")
+    raw = filled(F.col(address))
+    df = df.withColumn("_a", _address(raw))
+    return df.withColumns({
+        "addr_raw": F.when((F.col("_a.cons") == "") & (whitespace(raw) == ""), "").otherwise(raw), "addr_is_empty": F.col("_a.cons") == "",
+        "addr_conservative": F.col("_a.cons"), "addr_normalized": F.col("_a.norm"), "addr_tokens": words_of(F.col("_a.norm")),
+    }).drop("_a")
 
 
 RECORD = (

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..sources.tables import saved
 from . import keys as K
 
 #: A constant score; or (least, most before the loss by frequency).
@@ -34,68 +34,85 @@ def probe_keys(queries: DataFrame, options: Options = Options(), limits: K.Limit
 
     grp: 0 for all keys, 1 for rarest-first words, 2 for address numbers in their order.
     """
-    norm, cons = F.col("name_normalized"), F.col("name_conservative")
-    clean = T.without_honorific(norm)
-
-    def one(key: Column, base: int, grp: int = 0) -> Column:
-        return F.transform(F.filter(F.array(key), lambda k: k.isNotNull() & (k != "")), lambda k: F.struct(k.alias("key"), F.lit(0).alias("pos"), F.lit(grp).alias("grp"), F.lit(base).alias("base")))
-
-    def several(tokens: Column, grp: int) -> Column:
-        return F.transform(tokens, lambda k, i: F.struct(k.alias("key"), i.alias("pos"), F.lit(grp).alias("grp"), F.lit(0).alias("base")))
-
-    words = F.filter(K.address_tokens(), lambda t: ~K.is_number(t) & K.address_token(t))
-    numbers = F.filter(K.address_tokens(), lambda t: K.is_number(t) & K.address_token(t))
+    one = lambda key, base: f"transform(filter(array({key}), k -> k <> ''), k -> named_struct('key', k, 'pos', 0, 'grp', 0, 'base', {base}))"
+    several = lambda tokens, grp: f"transform({tokens}, (k, i) -> named_struct('key', k, 'pos', i, 'grp', {grp}, 'base', 0))"
+    words = f"filter({K.ADDRESS_TOKENS}, t -> NOT {K.NUMBER} AND {K.ADDRESS_TOKEN})"
+    numbers = f"filter({K.ADDRESS_TOKENS}, t -> {K.NUMBER} AND {K.ADDRESS_TOKEN})"
     made = {
-        K.EXACT: F.concat(one(norm, 100), one(F.when((norm != "") & (clean != norm), clean), 95)),
-        K.CONSERVATIVE: one(F.when(cons != norm, cons), 0),
-        K.SORTED: one(K.sorted_key(), 0),
-        K.BIGRAM: several(F.slice(K.bigrams(), 1, options.bigrams), 0),
-        K.NAME: several(F.filter("name_tokens", K.name_token), 1),
-        K.ADDRESS: F.concat(several(numbers, 2), several(words, 1)),
+        K.EXACT: f"concat({one('name_normalized', 100)}, {one(f'CASE WHEN {K.CLEAN} <> name_normalized THEN {K.CLEAN} END', 95)})",
+        K.CONSERVATIVE: one("CASE WHEN name_conservative <> name_normalized THEN name_conservative END", 0),
+        K.SORTED: one(K.SORTED_KEY, 0),
+        K.BIGRAM: several(f"slice({K.BIGRAMS}, 1, {options.bigrams})", 0),
+        K.NAME: several(f"filter(name_tokens, t -> {K.NAME_TOKEN})", 1),
+        K.ADDRESS: f"concat({several(numbers, 2)}, {several(words, 1)})",
         K.PREFIX: one(K.prefix_key(limits.prefix_len), 0),
     }
-    chosen = F.array(*[F.struct(F.lit(p).alias("pass"), made[p].alias("keys")) for p in K.PASSES if p in options.passes])
-    rows = queries.select(F.col("entity_id").alias("s1_id"), K.country_of(F.col("country")).alias("country"), F.explode(chosen).alias("f"))
-    return rows.select("s1_id", F.col("f.pass").alias("pass"), "country", F.explode("f.keys").alias("k")).select("s1_id", "pass", "country", "k.key", "k.pos", "k.grp", "k.base")
+    families = ", ".join(f"named_struct('pass', '{p}', 'keys', {made[p]})" for p in K.PASSES if p in options.passes)
+    rows = queries.selectExpr("entity_id AS s1_id", f"{K.COUNTRY} AS country", f"explode(array({families})) AS f")
+    return rows.selectExpr("s1_id", "f.pass AS pass", "country", "explode(f.keys) AS k").select("s1_id", "pass", "country", "k.key", "k.pos", "k.grp", "k.base")
 
 
 def score() -> Column:
     """What a row under a key is worth, from pass, base and df."""
-    p, loss = F.col("pass"), F.length(F.bin(F.greatest(F.col("df"), F.lit(2)) - 1))
-    out = F.when(p == K.EXACT, F.col("base"))
-    for name, worth in SCORES.items():
-        out = out.when(p == name, F.lit(worth) if isinstance(worth, int) else F.greatest(F.lit(worth[0]), F.lit(worth[1]) - loss))
-    return out.cast("long")
+    loss = "length(bin(greatest(df, 2) - 1))"
+    worth = lambda w: str(w) if isinstance(w, int) else f"greatest({w[0]}, {w[1]} - {loss})"
+    return F.expr(f"cast(CASE pass WHEN '{K.EXACT}' THEN base " + " ".join(f"WHEN '{p}' THEN {worth(w)}" for p, w in SCORES.items()) + " END AS bigint)")
 
 
 def chosen_probes(probes: DataFrame, frequencies: DataFrame, options: Options = Options()) -> DataFrame:
     """Probes whose key is in the index: the rarest words (ties: the first) and first numbers of a record, within the block cap."""
     found = probes.join(frequencies, ["pass", "country", "key"])
-    order = Window.partitionBy("s1_id", "pass", "grp").orderBy(F.when(F.col("grp") == 1, F.col("df")).otherwise(F.lit(0)), "pos", "key")
-    picked = found.where("grp > 0").withColumn("_n", F.row_number().over(order))
-    picked = picked.where(F.col("_n") <= F.when(F.col("grp") == 1, options.tokens).otherwise(options.numbers)).drop("_n")
-    return found.where("grp = 0").unionByName(picked).where(F.col("df") <= options.block_cap).withColumn("score", score())
+    order = Window.partitionBy("s1_id", "pass", "grp").orderBy(F.expr("CASE WHEN grp = 1 THEN df ELSE 0 END"), "pos", "key")
+    most = max(2, options.tokens, options.numbers, options.bigrams)  # no pass has more keys of a record without a choice
+    picked = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return picked.where(f"_n <= CASE grp WHEN 1 THEN {options.tokens} WHEN 2 THEN {options.numbers} ELSE _n END AND df <= {options.block_cap}").drop("_n").withColumn("score", score())
+
+
+def look_up(probes: DataFrame, keys: DataFrame, counts: DataFrame, options: Options, limits: K.Limits) -> DataFrame:
+    """Hits of probes in an index of keys.  counts are the keys' frequencies, in files.
+
+    The words that make up most of a text are beyond their limits; the hottest of them, a number
+    bounded by construction, are broadcast and leave both sides before their shuffles.
+    """
+    rows = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    hot = F.broadcast(K.hottest(counts, rows, limits))  # fewer than 1,000 keys
+    cold = lambda df: df.join(hot, ["pass", "country", "key"], "left_anti")
+    chosen = chosen_probes(cold(probes), K.within_limits(counts, limits), options)
+    kept = K.first_of_sorted(keys, limits).select("pass", "country", "key", F.col("entity_id").alias("cand_id"))
+    return chosen.join(cold(kept), ["pass", "country", "key"]).select("s1_id", "cand_id", "pass", "score")
 
 
 def hits(queries: DataFrame, targets: DataFrame, options: Options = Options(), limits: K.Limits = K.Limits()) -> DataFrame:
     """(s1_id, cand_id, pass, score): a row for each row under a chosen key."""
-    keys = K.target_keys(targets, limits)
-    probes = chosen_probes(probe_keys(queries, options, limits), K.document_frequencies(keys, limits), options)
-    kept = K.first_of_sorted(keys, limits).select("pass", "country", "key", F.col("entity_id").alias("cand_id"))
-    return probes.join(kept, ["pass", "country", "key"]).select("s1_id", "cand_id", "pass", "score")
+    keys = K.target_keys(targets, limits, options.passes)
+    return look_up(probe_keys(queries, options, limits), keys, saved(K.key_counts(keys)), options, limits)
+
+
+#: Passes by name; a pair's passes are bits in this order until they are named.
+NAMED = tuple(sorted(K.PASSES))
+
+
+def passes_of(mask: str) -> Column:
+    """The passes whose bits are set, by name."""
+    return F.expr("filter(array(" + ", ".join(f"'{p}'" for p in NAMED) + f"), (p, i) -> (shiftright({mask}, i) & 1) = 1)")
 
 
 def merged(hit_rows: DataFrame) -> DataFrame:
-    """(s1_id, cand_id, score, methods): one row a pair, before the cap."""
-    return hit_rows.groupBy("s1_id", "cand_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("pass")).alias("methods"))
+    """(s1_id, cand_id, score, methods): one row a pair, before the cap.
+
+    Hits are dealt out by record, so that pairs and their ranks need no other shuffle; a record's
+    hits are bounded by its chosen keys and their limits.
+    """
+    bit = F.expr("CASE pass " + " ".join(f"WHEN '{p}' THEN {1 << k}" for k, p in enumerate(NAMED)) + " END")
+    pairs = hit_rows.repartition("s1_id").groupBy("s1_id", "cand_id").agg(F.sum("score").alias("score"), F.bit_or(bit).alias("_mask"))
+    return pairs.select("s1_id", "cand_id", "score", passes_of("_mask").alias("methods"))
 
 
 def ranked(pairs: DataFrame, most: int | None = None) -> DataFrame:
     """pairs with rn, their rank within a record; those after the most-th are dropped as early as Spark can."""
-    has = lambda *p: F.greatest(*[F.array_contains("methods", x).cast("int") for x in p]) if len(p) > 1 else F.array_contains("methods", p[0]).cast("int")
-    order = Window.partitionBy("s1_id").orderBy(
-        F.desc("score"), F.desc(F.size("methods")), F.desc(has(K.EXACT)), F.desc(has(K.BIGRAM, K.SORTED)), F.desc(has(K.NAME)), F.desc(has(K.ADDRESS)), F.desc("cand_id")
-    )
+    has = lambda p: f"array_contains(methods, '{p}')"
+    keys = ["score", "size(methods)", has(K.EXACT), f"{has(K.BIGRAM)} OR {has(K.SORTED)}", has(K.NAME), has(K.ADDRESS), "cand_id"]
+    order = Window.partitionBy("s1_id").orderBy(*[F.expr(k).desc() for k in keys])
     out = pairs.withColumn("rn", F.row_number().over(order))
     return out if most is None else out.where(F.col("rn") <= most)
 
@@ -103,8 +120,8 @@ def ranked(pairs: DataFrame, most: int | None = None) -> DataFrame:
 def candidates(queries: DataFrame, targets: DataFrame, source: str = "", options: Options = Options(), limits: K.Limits = K.Limits()) -> DataFrame:
     """The capped candidates of every record, with their number before the cap."""
     pairs = merged(hits(queries, targets, options, limits))
-    raw = pairs.groupBy("s1_id").agg(F.count("*").alias("raw_candidate_count"))
-    return ranked(pairs, options.max_candidates).join(raw, "s1_id").select(
+    counted = pairs.withColumn("raw_candidate_count", F.count("*").over(Window.partitionBy("s1_id")))
+    return ranked(counted, options.max_candidates).select(
         F.col("s1_id").alias("source1_entity_id"), F.col("cand_id").alias("candidate_entity_id"), F.lit(source).alias("candidate_source"),
         F.col("methods").alias("blocking_methods"), "score", "raw_candidate_count", "rn",
     )

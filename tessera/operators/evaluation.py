@@ -69,13 +69,17 @@ def pass_contributions(truth: DataFrame, pairs: DataFrame, cap: int = 50) -> Dat
 def pass_study(truth: DataFrame, hit_rows: DataFrame, cap: int = 50) -> DataFrame:
     """(step, label, retrieved, total): recall as passes are added one by one.
 
-    One aggregation over the hits and one rank per step: the hits are joined once.
+    One aggregation over the hits, with a sum for each pass: a step adds up the sums of its passes.
     """
-    steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(label).alias("label"), F.array(*map(F.lit, p)).alias("passes")) for k, (label, p) in enumerate(STUDY)])
-    rows = hit_rows.withColumn("s", F.explode(steps)).where(F.array_contains("s.passes", F.col("pass"))).select("s1_id", "cand_id", "pass", "score", "s.step", "s.label")
-    pairs = rows.groupBy("step", "label", "s1_id", "cand_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("pass")).alias("methods"))
-    one = pairs.withColumn("s1_key", F.struct("step", "s1_id")).select(F.col("s1_key").alias("s1_id"), "cand_id", "score", "methods", "label")
-    kept = B.ranked(one, cap).select("s1_id.step", "label", F.col("s1_id.s1_id").alias("s1_id"), "cand_id")
+    sums = hit_rows.groupBy("s1_id", "cand_id").agg(*[F.sum(F.when(F.col("pass") == p, F.col("score"))).alias(f"_{p}") for p in K.PASSES])
+    by_pass = F.array(*[F.col(f"_{p}") for p in K.PASSES])
+    names = ", ".join(f"'{p}'" for p in K.PASSES)
+    steps = sums.select("s1_id", "cand_id", by_pass.alias("_sums"), F.explode(F.sequence(F.lit(0), F.lit(len(STUDY) - 1))).alias("step"))
+    pairs = steps.selectExpr(
+        "step", "s1_id", "cand_id", "aggregate(slice(_sums, 1, step + 1), 0L, (a, x) -> a + coalesce(x, 0L)) AS score", f"array_sort(filter(array({names}), (p, i) -> i <= step AND _sums[i] IS NOT NULL)) AS methods"
+    ).where("size(methods) > 0")
+    one = pairs.select(F.struct("step", "s1_id").alias("s1_id"), "cand_id", "score", "methods")
+    kept = B.ranked(one, cap).select("s1_id.step", F.col("s1_id.s1_id").alias("s1_id"), "cand_id")
     found = kept.join(truth.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_semi").groupBy("step").agg(F.count("*").alias("retrieved"))
     spark = truth.sparkSession
     names = spark.createDataFrame([(k, label) for k, (label, _) in enumerate(STUDY)], "step int, label string")

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions import vocabulary as V
 
 EXACT, CONSERVATIVE, SORTED, BIGRAM, NAME, ADDRESS, PREFIX = PASSES = (
@@ -35,65 +34,83 @@ def country_of(country: Column) -> Column:
     return F.when(F.coalesce(country, F.lit("")) == "", "UNKNOWN").otherwise(country)
 
 
-def is_number(token: Column) -> Column:
-    return token.rlike(r"^\p{Nd}+$")
+def _in(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"
 
 
-def name_token(token: Column) -> Column:
-    return ~token.isin(*V.NAME_STOP_TOKENS) & (F.length(token) >= 3)
+# SQL over a record's columns, or over a token t: the same expression is part of many plans, and text is parsed in one call.
+COUNTRY = "CASE WHEN coalesce(country, '') = '' THEN 'UNKNOWN' ELSE country END"
+NUMBER = r"t RLIKE r'^\p{Nd}+$'"
+NAME_TOKEN = f"(t NOT IN {_in(V.NAME_STOP_TOKENS)} AND length(t) >= 3)"
+ADDRESS_TOKEN = f"(t NOT IN {_in(V.ADDRESS_STOP_TOKENS)} AND (length(t) >= 4 OR (length(t) >= 2 AND {NUMBER})))"
+NO_TOKENS = "cast(array() AS array<string>)"
+ADDRESS_TOKENS = f"CASE WHEN NOT addr_is_empty THEN addr_tokens ELSE {NO_TOKENS} END"
+CLEAN = "trim(regexp_replace(name_normalized, r'(?i)^(" + "|".join(V.HONORIFICS) + r")\b[\s.\-/]*', ''))"
+SORTED_KEY = "CASE WHEN size(name_tokens) >= 2 THEN array_join(array_sort(name_tokens), ' ') END"
+#: Pairs of neighbouring tokens, in order, repeats included.
+BIGRAMS = f"CASE WHEN size(name_tokens) >= 2 THEN transform(sequence(0, size(name_tokens) - 2), i -> concat(name_tokens[i], '_', name_tokens[i + 1])) ELSE {NO_TOKENS} END"
 
 
-def address_token(token: Column) -> Column:
-    return ~token.isin(*V.ADDRESS_STOP_TOKENS) & ((F.length(token) >= 4) | (is_number(token) & (F.length(token) >= 2)))
+def prefix_key(n: int = 6) -> str:
+    compact = "replace(name_normalized, ' ', '')"
+    return f"CASE WHEN length({compact}) >= {n} THEN substring({compact}, 1, {n}) END"
 
 
-def sorted_key() -> Column:
-    return F.when(F.size("name_tokens") >= 2, F.array_join(F.array_sort("name_tokens"), " "))
+def is_number(token: Column) -> Column:
+    return token.rlike(r"^\p{Nd}+$")
 
 
-def bigrams() -> Column:
-    """Pairs of neighbouring tokens, in order, repeats included."""
-    return F.expr("CASE WHEN size(name_tokens) >= 2 THEN transform(sequence(0, size(name_tokens) - 2), i -> concat(name_tokens[i], '_', name_tokens[i + 1])) ELSE cast(array() AS array<string>) END")
+def name_tokens() -> Column:
+    """A record's name tokens that make keys, repeats included."""
+    return F.expr(f"filter(name_tokens, t -> {NAME_TOKEN})")
 
 
 def address_tokens() -> Column:
-    """Tokens of an address that is not empty."""
-    return F.when(~F.col("addr_is_empty"), F.col("addr_tokens")).otherwise(F.array().cast("array<string>"))
+    """The same of an address that is not empty."""
+    return F.expr(f"filter({ADDRESS_TOKENS}, t -> {ADDRESS_TOKEN})")
 
 
-def prefix_key(n: int = 6) -> Column:
-    compact = F.replace("name_normalized", F.lit(" "), F.lit(""))
-    return F.when(F.length(compact) >= n, F.substring(compact, 1, n))
-
-
-def target_keys(records: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def target_keys(records: DataFrame, limits: Limits = Limits(), passes: tuple[str, ...] = PASSES) -> DataFrame:
     """All keys of preprocessed records, before any limit.  ordinal (default: the id) is the order of arrival."""
-    norm, clean = F.col("name_normalized"), T.without_honorific(F.col("name_normalized"))
-    present = lambda c: F.when(c != "", c)
     made = {
-        EXACT: F.array_distinct(F.array(present(norm), F.when(norm != "", present(clean)))),
-        CONSERVATIVE: F.array(F.when(F.col("name_conservative") != norm, present(F.col("name_conservative")))),
-        SORTED: F.array(sorted_key()),
-        BIGRAM: bigrams(),
-        NAME: F.filter("name_tokens", name_token),
-        ADDRESS: F.filter(address_tokens(), address_token),
-        PREFIX: F.array(prefix_key(limits.prefix_len)),
+        EXACT: f"array_distinct(filter(array(name_normalized, CASE WHEN name_normalized <> '' THEN {CLEAN} END), k -> k <> ''))",
+        CONSERVATIVE: "filter(array(CASE WHEN name_conservative <> name_normalized THEN name_conservative END), k -> k <> '')",
+        SORTED: f"filter(array({SORTED_KEY}), k -> k IS NOT NULL)",
+        BIGRAM: BIGRAMS,
+        NAME: f"filter(name_tokens, t -> {NAME_TOKEN})",
+        ADDRESS: f"filter({ADDRESS_TOKENS}, t -> {ADDRESS_TOKEN})",
+        PREFIX: f"filter(array({prefix_key(limits.prefix_len)}), k -> k IS NOT NULL)",
     }
-    families = F.array(*[F.struct(F.lit(p).alias("pass"), F.filter(keys, lambda k: k.isNotNull()).alias("keys")) for p, keys in made.items()])
-    ordinal = F.col("ordinal") if "ordinal" in records.columns else F.col("entity_id")
-    rows = records.select("entity_id", country_of(F.col("country")).alias("country"), ordinal.alias("ordinal"), F.explode(families).alias("f"))
-    return rows.select(F.col("f.pass").alias("pass"), "country", F.explode("f.keys").alias("key"), "entity_id", "ordinal")
+    families = ", ".join(f"named_struct('pass', '{p}', 'keys', {made[p]})" for p in PASSES if p in passes)
+    ordinal = "ordinal" if "ordinal" in records.columns else "entity_id AS ordinal"
+    rows = records.selectExpr("entity_id", f"{COUNTRY} AS country", ordinal, f"explode(array({families})) AS f")
+    return rows.selectExpr("f.pass AS pass", "country", "explode(f.keys) AS key", "entity_id", "ordinal")
+
+
+def limit_of(limits: Limits) -> str:
+    """SQL: the largest df at which a key of its pass is used; null where there is none."""
+    return f"CASE pass WHEN '{BIGRAM}' THEN {limits.bigram} WHEN '{NAME}' THEN {limits.name} WHEN '{ADDRESS}' THEN {limits.address} WHEN '{PREFIX}' THEN {limits.block} END"
+
+
+def key_counts(keys: DataFrame) -> DataFrame:
+    """(pass, country, key, df) of all keys; df counts rows, not records."""
+    return keys.groupBy("pass", "country", "key").agg(F.count("*").alias("df"))
+
+
+def within_limits(counts: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The keys that are used.  A key of sorted names is never dropped: it keeps its first rows, so its df stops at the block limit."""
+    used = counts.where(f"coalesce(df <= {limit_of(limits)}, true)")
+    return used.withColumn("df", F.expr(f"CASE WHEN pass = '{SORTED}' THEN least(df, {limits.block}) ELSE df END"))
 
 
 def document_frequencies(keys: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(pass, country, key, df) of the keys within their limits; df counts rows, not records.
-
-    A key of sorted names is never dropped: it keeps its first rows, so its df stops at the block limit.
-    """
-    df = keys.groupBy("pass", "country", "key").agg(F.count("*").alias("df"))
-    p = F.col("pass")
-    limit = F.when(p == BIGRAM, limits.bigram).when(p == NAME, limits.name).when(p == ADDRESS, limits.address).when(p == PREFIX, limits.block)
-    return df.where(limit.isNull() | (F.col("df") <= limit)).withColumn("df", F.when(p == SORTED, F.least("df", F.lit(limits.block))).otherwise(F.col("df")))
+    """(pass, country, key, df) of the keys within their limits."""
+    return within_limits(key_counts(keys), limits)
+
+
+def hottest(counts: DataFrame, rows: int, limits: Limits = Limits(), most: int = 1000) -> DataFrame:
+    """Keys beyond their limits that hold more than one in most of all rows: fewer than most of them, whatever the input."""
+    return counts.where(f"df > {limit_of(limits)} AND df > {rows} DIV {most}").select("pass", "country", "key")
 
 
 def first_of_sorted(keys: DataFrame, limits: Limits = Limits()) -> DataFrame:

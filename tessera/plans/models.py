@@ -27,10 +27,10 @@ ROWS_A_TASK = 20_000
 def dataset(d, ratio: int | None = 10) -> DataFrame:
     """Labelled pairs with features and is_train: whole source-1 records on one side, negatives thinned on the training side.
 
-    What several counts and joins read is cut from its plan: the records, the capped pairs, and the
-    features, which a fit reads once for each of its iterations.
+    What several counts and joins read is cut from its plan: the capped pairs, and the features, which
+    a fit reads once for each of its iterations (the records are files already).
     """
-    queries, targets, truths = cut(d.pre("S1")), cut(d.pre("S2")), d.truths
+    queries, targets, truths = d.queries, d.targets(), d.truths
     kept = cut(B.ranked(B.merged(B.hits(queries, targets)), 50).drop("rn").withColumn("raw_candidate_count", F.lit(0).cast("long")))
     pairs = L.labelled(kept, truths).unionByName(L.recovered(kept, truths, targets))
     split = L.group_split(queries.select(F.col("entity_id").alias("s1_id")))

@@ -1,11 +1,13 @@
 """The queries by name, and their SQL.
 
-Records come from the adapters; targets are source 2 unless a query says otherwise.  Arrays are
-joined to strings in results.
+Records come from the adapters and hold whole texts.  Source 1 is looked up in an index of sources
+2 and 3 (``q10_candidates``, ``l5_both_sources`` and the flagship: in an index of each); the ``b``
+queries index all records.  Arrays are joined to strings in results.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,49 +25,70 @@ from ..sources import adapters, tables
 from . import models as M
 from . import sql as Q
 
-#: Small limits, so that the small tables have keys to prune.
-SMALL = K.Limits(name=40, address=20, bigram=10, block=60)
-
 
 class Data:
     """The relations that queries start from, each made once for a query."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.dir, self.whole = spark, sf_dir, whole
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
 
-    @property
+    @functools.cached_property
     def src(self) -> DataFrame:
-        return adapters.sources(self.spark, self.dir, self.whole)
+        return adapters.sources(self.spark, self.dir)
 
-    @property
+    @functools.cached_property
     def truth(self) -> DataFrame:
         return adapters.truth(self.spark, self.dir)
 
-    def pre(self, source: str | None = None) -> DataFrame:
-        src = self.src
-        return T.preprocess(src if source is None else src.where(F.col("source") == source))
+    @functools.cached_property
+    def pre(self) -> DataFrame:
+        """Preprocessed records, for queries that pass over them once."""
+        return T.preprocess(self.src)
+
+    @functools.cached_property
+    def records(self) -> DataFrame:
+        """The same from files, for queries that read them as both sides of a join; raw values are not kept, and tokens are split again when read."""
+        kept = tables.saved(self.pre.drop("name_raw", "addr_raw", "name_tokens", "addr_tokens"))
+        return kept.withColumns({f"{x}_tokens": T.words_of(F.col(f"{x}_normalized")) for x in ("name", "addr")})
+
+    @property
+    def queries(self) -> DataFrame:
+        return self.records.where("source = 'S1'")
+
+    def targets(self, source: str | None = None) -> DataFrame:
+        return self.records.where("source <> 'S1'" if source is None else F.col("source") == source)
 
     def hits(self, limits: K.Limits = K.Limits(), **options) -> DataFrame:
-        return B.hits(self.pre("S1"), self.pre("S2"), B.Options(**options), limits)
+        return B.hits(self.queries, self.targets(), B.Options(**options), limits)
 
     def pairs(self, **options) -> DataFrame:
         return B.merged(self.hits(**options))
 
     @property
     def truths(self) -> DataFrame:
-        return L.of_source(L.parse_truth(self.truth), "S2-")
+        return L.parse_truth(self.truth).distinct()
+
+    @property
+    def countries(self) -> DataFrame:
+        return self.queries.select(F.col("entity_id").alias("s1_id"), K.country_of(F.col("country")).alias("country"))
 
     def scored(self) -> DataFrame:
         """Capped pairs with label and a score in place of a probability."""
         kept = B.ranked(self.pairs(), 50).drop("rn")
-        country = self.src.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"), K.country_of(F.col("country")).alias("country"))
-        return L.labelled(kept, self.truths).withColumn("prob", F.least(F.lit(1.0), F.col("score") / 150.0)).join(country, "s1_id")
+        return L.labelled(kept, self.truths).withColumn("prob", F.least(F.lit(1.0), F.col("score") / 150.0)).join(self.countries, "s1_id")
+
+    def two(self) -> DataFrame:
+        """Capped pairs with both records."""
+        return X.paired(self.scored().select("s1_id", "cand_id", "methods", "score"), self.queries, self.targets())
+
+
+def _candidates(d: Data) -> DataFrame:
+    return B.candidates(d.queries, d.targets("S2"), "S2").unionByName(B.candidates(d.queries, d.targets("S3"), "S3"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of source 1 in both other sources, over whole texts."""
-    d = Data(spark, sf_dir, whole=True)
-    return B.candidates(d.pre("S1"), d.pre("S2"), "S2").unionByName(B.candidates(d.pre("S1"), d.pre("S3"), "S3")).drop("blocking_methods")
+    """Candidates of source 1 in either other source, each with its own index."""
+    return _candidates(Data(spark, sf_dir)).drop("blocking_methods")
 
 
 def _joined(df: DataFrame, *arrays: str) -> DataFrame:
@@ -77,11 +100,11 @@ def _pass_scores(passes: tuple[str, ...]) -> Callable:
 
 
 def _frequencies(p: str) -> Callable:
-    return lambda d: K.document_frequencies(K.target_keys(d.pre("S2"), SMALL).where(F.col("pass") == p), SMALL).select("country", "key", "df")
+    return lambda d: K.document_frequencies(K.target_keys(d.pre, passes=(p,))).select("country", "key", "df")
 
 
 def _keys(p: str) -> Callable:
-    return lambda d: K.target_keys(d.pre("S2")).where(F.col("pass") == p).select("country", "key", "entity_id")
+    return lambda d: K.target_keys(d.pre, passes=(p,)).select("country", "key", "entity_id")
 
 
 def _model(kind: str) -> Callable:
@@ -92,9 +115,9 @@ def _model(kind: str) -> Callable:
     return run
 
 
-_SMALL_SQL = {"name_df": 40, "addr_df": 20, "bigram_df": 10, "block": 60}
-_FREQ_SQL = lambda p: Q.chain("keys", f"SELECT country, key, df FROM freq WHERE pass = '{p}'", **_SMALL_SQL)
-_KEYS_SQL = lambda p: Q.chain("keys", f"SELECT country, key, entity_id FROM keys WHERE pass = '{p}'")
+_FREQ_SQL = lambda p: Q.chain("keys", f"SELECT country, key, df FROM freq WHERE pass = '{p}'", target="true")
+_KEYS_SQL = lambda p: Q.chain("keys", f"SELECT country, key, entity_id FROM keys WHERE pass = '{p}'", target="true")
+_EACH_SQL = lambda select: " UNION ALL ".join("SELECT * FROM (" + Q.chain("pairs", select.replace("$", x), target=f"source = '{x}'") + ")" for x in ("S2", "S3"))
 _PASS_SQL = lambda p: Q.chain("hits", f"SELECT s1_id, cand_id, sum(score)::BIGINT AS score FROM hits WHERE pass = '{p}' GROUP BY s1_id, cand_id")
 _RECALL = """count(*) AS total, count(*) FILTER (WHERE rn <= cap) AS retrieved, count(*) FILTER (WHERE rn > cap) AS lost_to_cap, count(*) FILTER (WHERE rn IS NULL) AS lost_to_blocking,
   round(count(*) FILTER (WHERE rn <= cap) * 100.0::DOUBLE / count(*), 2) AS recall_pct, round((count(*) FILTER (WHERE rn <= cap) + count(*) FILTER (WHERE rn > cap)) * 100.0::DOUBLE / count(*), 2) AS uncapped_recall_pct"""
@@ -162,46 +185,46 @@ def _entries() -> dict[str, tuple[Callable[[Data], DataFrame], str | None]]:
         "p3_whitespace": (lambda d: d.src.select("entity_id", T.whitespace(F.replace("business_address", F.lit(" "), F.lit(" \t "))).alias("clean")), s("SELECT entity_id, trim(business_address) AS clean FROM src")),
         "p4_punctuation": (lambda d: d.src.select("entity_id", T.punctuation(F.col("business_name")).alias("plain"), T.punctuation(F.col("business_address"), True).alias("kept")), s(r"SELECT entity_id, trim(regexp_replace(regexp_replace(replace(business_name, '&', ' and '), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g')) AS plain, trim(regexp_replace(replace(regexp_replace(replace(business_address, '&', chr(1)), '[\p{P}\p{S}]', ' ', 'g'), chr(1), '&'), '\s+', ' ', 'g')) AS kept FROM src")),
         "p5_accents": (lambda d: d.src.select("entity_id", T.strip_accents(F.col("business_name")).alias("plain")), s("SELECT entity_id, strip_accents(business_name) AS plain FROM src")),
-        "p6_suffix": (lambda d: d.pre().select("entity_id", "name_corporate_suffix"), c("pre", "SELECT entity_id, name_corporate_suffix FROM pre")),
-        "p7_name": (lambda d: _joined(d.pre().select("entity_id", "name_raw", "name_conservative", "name_normalized", "name_corporate_suffix", "name_tokens"), "name_tokens"), c("pre", "SELECT entity_id, name_raw, name_conservative, name_normalized, name_corporate_suffix, array_to_string(toks, ',') AS name_tokens FROM pre")),
-        "p8_address": (lambda d: _joined(d.pre().select("entity_id", "addr_is_empty", "addr_conservative", "addr_normalized", "addr_tokens"), "addr_tokens"), c("pre", "SELECT entity_id, addr_is_empty, addr_conservative, addr_normalized, array_to_string(atoks, ',') AS addr_tokens FROM pre")),
+        "p6_suffix": (lambda d: d.pre.select("entity_id", "name_corporate_suffix"), c("pre", "SELECT entity_id, name_corporate_suffix FROM pre")),
+        "p7_name": (lambda d: _joined(d.pre.select("entity_id", "name_raw", "name_conservative", "name_normalized", "name_corporate_suffix", "name_tokens"), "name_tokens"), c("pre", "SELECT entity_id, name_raw, name_conservative, name_normalized, name_corporate_suffix, array_to_string(toks, ',') AS name_tokens FROM pre")),
+        "p8_address": (lambda d: _joined(d.pre.select("entity_id", "addr_is_empty", "addr_conservative", "addr_normalized", "addr_tokens"), "addr_tokens"), c("pre", "SELECT entity_id, addr_is_empty, addr_conservative, addr_normalized, array_to_string(atoks, ',') AS addr_tokens FROM pre")),
         "p9_record": (
-            lambda d: _joined(T.preprocess(d.src.where("source = 'S3'")).drop("source"), "name_tokens", "addr_tokens"),
-            c("pre", "SELECT entity_id, country, name_raw, name_conservative, name_normalized, name_corporate_suffix, array_to_string(toks, ',') AS name_tokens, CASE WHEN trim(addr_raw) = '' THEN '' ELSE addr_raw END AS addr_raw, addr_is_empty, addr_conservative, addr_normalized, array_to_string(atoks, ',') AS addr_tokens FROM pre WHERE source = 'S3'"),
+            lambda d: _joined(d.pre.drop("source"), "name_tokens", "addr_tokens"),
+            c("pre", "SELECT entity_id, country, name_raw, name_conservative, name_normalized, name_corporate_suffix, array_to_string(toks, ',') AS name_tokens, CASE WHEN trim(addr_raw) = '' THEN '' ELSE addr_raw END AS addr_raw, addr_is_empty, addr_conservative, addr_normalized, array_to_string(atoks, ',') AS addr_tokens FROM pre"),
         ),
         "p10_honorific": (
-            lambda d: d.pre().select("entity_id", T.without_honorific(F.concat(F.element_at(F.array(*map(F.lit, ("dr ", "shri-", "", "mrs. "))), (F.length("name_normalized") % 4 + 1).cast("int")), F.col("name_normalized"))).alias("clean")),
+            lambda d: d.pre.select("entity_id", T.without_honorific(F.concat(F.element_at(F.array(*map(F.lit, ("dr ", "shri-", "", "mrs. "))), (F.length("name_normalized") % 4 + 1).cast("int")), F.col("name_normalized"))).alias("clean")),
             c("pre", f"SELECT entity_id, trim(regexp_replace(['dr ', 'shri-', '', 'mrs. '][length(name_normalized) % 4 + 1] || name_normalized, {Q._TITLE}, '')) AS clean FROM pre"),
         ),
         # predicates
-        "w3_name_tokens": (lambda d: d.pre("S2").select("entity_id", F.explode(F.filter("name_tokens", K.name_token)).alias("t")), c("pre", f"SELECT * FROM (SELECT entity_id, unnest(toks) AS t FROM pre WHERE source = 'S2') WHERE {Q._NAME}")),
-        "w4_addr_tokens": (lambda d: d.pre("S2").select("entity_id", F.explode(F.filter(K.address_tokens(), K.address_token)).alias("t")), c("pre", f"SELECT * FROM (SELECT entity_id, unnest(atoks) AS t FROM pre WHERE source = 'S2') WHERE {Q._ADDRESS}")),
+        "w3_name_tokens": (lambda d: d.pre.select("entity_id", F.explode(K.name_tokens()).alias("t")), c("pre", f"SELECT * FROM (SELECT entity_id, unnest(toks) AS t FROM pre) WHERE {Q._NAME}")),
+        "w4_addr_tokens": (lambda d: d.pre.select("entity_id", F.explode(K.address_tokens()).alias("t")), c("pre", f"SELECT * FROM (SELECT entity_id, unnest(atoks) AS t FROM pre) WHERE {Q._ADDRESS}")),
         "w5_block_cap": (lambda d: d.hits(block_cap=20).groupBy("s1_id", "cand_id").agg(F.sum("score").alias("score")), c("hits", "SELECT s1_id, cand_id, sum(score)::BIGINT AS score FROM hits GROUP BY s1_id, cand_id", cap=20)),
         # index
         "b1_exact_keys": (_keys(K.EXACT), _KEYS_SQL(K.EXACT)), "b2_conservative_keys": (_keys(K.CONSERVATIVE), _KEYS_SQL(K.CONSERVATIVE)),
-        "b3_sorted_keys": (lambda d: K.first_of_sorted(K.target_keys(d.pre("S2")).where(F.col("pass") == K.SORTED), K.Limits(block=3)).select("country", "key", "entity_id"), c("keys", "SELECT country, key, entity_id FROM kept WHERE pass = 'sorted_name'", block=3)),
+        "b3_sorted_keys": (lambda d: K.first_of_sorted(K.target_keys(d.pre, passes=(K.SORTED,))).select("country", "key", "entity_id"), c("keys", "SELECT country, key, entity_id FROM kept WHERE pass = 'sorted_name'", target="true")),
         "b4_bigram_df": (_frequencies(K.BIGRAM), _FREQ_SQL(K.BIGRAM)), "b5_token_df": (_frequencies(K.NAME), _FREQ_SQL(K.NAME)),
         "b6_addr_df": (_frequencies(K.ADDRESS), _FREQ_SQL(K.ADDRESS)), "b7_prefix_df": (_frequencies(K.PREFIX), _FREQ_SQL(K.PREFIX)),
-        "b8_index_statistics": (lambda d: K.index_statistics(d.src.where("source = 'S2'")), s("SELECT country, count(*) AS records FROM (SELECT CASE WHEN country = '' THEN 'UNKNOWN' ELSE country END AS country FROM src WHERE source = 'S2') GROUP BY ROLLUP (country)")),
+        "b8_index_statistics": (lambda d: K.index_statistics(d.src), s("SELECT country, count(*) AS records FROM (SELECT CASE WHEN country = '' THEN 'UNKNOWN' ELSE country END AS country FROM src) GROUP BY ROLLUP (country)")),
         # candidates
         **{f"q{k}_{name}": (_pass_scores((p,)), _PASS_SQL(p)) for k, (name, p) in enumerate((("exact", K.EXACT), ("conservative", K.CONSERVATIVE), ("sorted", K.SORTED), ("bigram", K.BIGRAM), ("token", K.NAME), ("addr", K.ADDRESS), ("prefix", K.PREFIX)), 1)},
         "q8_merge": (lambda d: _joined(d.pairs(), "methods"), c("pairs", "SELECT s1_id, cand_id, score, array_to_string(methods, ',') AS methods FROM pairs")),
         "q9_topk": (lambda d: B.ranked(d.pairs(), 5).select("s1_id", "cand_id", "score", "rn"), c("pairs", "SELECT s1_id, cand_id, score, rn FROM ranked WHERE rn <= 5")),
         "q10_candidates": (
-            lambda d: _joined(B.candidates(d.pre("S1"), d.pre("S2"), "S2"), "blocking_methods"),
-            c("pairs", "SELECT s1_id AS source1_entity_id, cand_id AS candidate_entity_id, 'S2' AS candidate_source, array_to_string(methods, ',') AS blocking_methods, score, raw_candidate_count, rn FROM ranked WHERE rn <= 50"),
+            lambda d: _joined(_candidates(d), "blocking_methods"),
+            _EACH_SQL("SELECT s1_id AS source1_entity_id, cand_id AS candidate_entity_id, '$' AS candidate_source, array_to_string(methods, ',') AS blocking_methods, score, raw_candidate_count, rn FROM ranked WHERE rn <= 50"),
         ),
         # pairs
         "l1_truth": (lambda d: L.parse_truth(d.truth), s("SELECT s1_id, unnest(p) AS cand_id FROM parts", _PARTS)),
         "l2_labels": (lambda d: d.scored().select("s1_id", "cand_id", "label"), c("scored", "SELECT s1_id, cand_id, label FROM scored")),
         "l3_recovered": (
-            lambda d: L.recovered(B.ranked(d.pairs(), 3).drop("rn"), d.truths, d.src).drop("methods"),
-            c("truths", "SELECT s1_id, cand_id, 0::BIGINT AS score, least(coalesce((SELECT count(*) FROM ranked r WHERE r.s1_id = f.s1_id), 0), 3)::BIGINT AS raw_candidate_count, 1 AS label FROM found f WHERE coalesce(rn, 99) > 3 AND cand_id IN (SELECT entity_id FROM src)"),
+            lambda d: L.recovered(B.ranked(d.pairs(), 3).drop("rn"), d.truths, d.targets()).drop("methods"),
+            c("truths", "SELECT s1_id, cand_id, 0::BIGINT AS score, least(coalesce((SELECT count(*) FROM ranked r WHERE r.s1_id = f.s1_id), 0), 3)::BIGINT AS raw_candidate_count, 1 AS label FROM found f WHERE coalesce(rn, 99) > 3 AND cand_id IN (SELECT entity_id FROM tgt)"),
         ),
         "l4_coverage": (lambda d: L.coverage(B.ranked(d.pairs(), 50), d.truths), c("truths", "SELECT count(*) AS total, count(*) FILTER (WHERE rn <= 50) AS retrieved, count(*) FILTER (WHERE rn <= 50) * 100.0::DOUBLE / count(*) AS pct FROM found")),
         "l5_both_sources": (
-            lambda d: B.merged(d.hits()).select("s1_id", "cand_id", "score").unionByName(B.merged(B.hits(d.pre("S1"), d.pre("S3"))).select("s1_id", "cand_id", "score")).groupBy(F.substring("cand_id", 1, 2).alias("source")).agg(F.count("*").alias("n"), F.sum("score").alias("score")),
-            None,
+            lambda d: functools.reduce(DataFrame.unionByName, [B.merged(B.hits(d.queries, d.targets(x))).agg(F.lit(x).alias("source"), F.count("*").alias("n"), F.sum("score").alias("score")) for x in ("S2", "S3")]),
+            _EACH_SQL("SELECT '$' AS source, count(*) AS n, sum(score)::BIGINT AS score FROM pairs"),
         ),
         "l6_split": (
             lambda d: L.group_split(d.truth.select(F.col("source1_entity_id").alias("s1_id"))),
@@ -211,26 +234,26 @@ def _entries() -> dict[str, tuple[Callable[[Data], DataFrame], str | None]]:
             lambda d: L.subsample_negatives(d.scored(), 2).select("s1_id", "cand_id", "label"),
             c("scored", "SELECT s1_id, cand_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(s1_id || cand_id || '42'), s1_id, cand_id) AS k FROM scored) WHERE label = 1 OR k <= 2 * (SELECT count(*) FROM scored WHERE label = 1)"),
         ),
-        "l8_matrix": (lambda d: X.features(X.paired(d.scored().select("s1_id", "cand_id", "methods", "score"), d.pre("S1"), d.pre("S2"))).drop("methods"), None),
+        "l8_matrix": (lambda d: X.features(d.two()).drop("methods"), None),
         "l9_countries": (lambda d: L.of_countries(d.src, ("US", "India")).groupBy("country").agg(F.count("*").alias("n")), s("SELECT country, count(*) AS n FROM src WHERE country IN ('US', 'India') GROUP BY country")),
         # evaluation
         "a1_recall": (lambda d: A.recall(d.truths, d.pairs()), c("truths", f"SELECT cap, {_RECALL} FROM found, (VALUES (50)) k(cap) GROUP BY cap")),
         "a1_entities": (
-            lambda d: A.entity_counts(d.src.where("source = 'S1'"), d.truths, d.pairs()),
+            lambda d: A.entity_counts(d.queries, d.truths, d.pairs()),
             c("truths", "SELECT count(*) AS entities, count(*) FILTER (WHERE entity_id IN (SELECT s1_id FROM ranked)) AS with_candidates, count(*) FILTER (WHERE done) AS with_all_matches, count(*) FILTER (WHERE done IS NULL) AS without_matches FROM qry LEFT JOIN (SELECT s1_id, bool_and(coalesce(rn <= 50, false)) AS done FROM found GROUP BY s1_id) f ON f.s1_id = entity_id"),
         ),
         "a2_distribution": (
-            lambda d: A.count_distribution(d.src.where("source = 'S1'"), d.pairs()),
+            lambda d: A.count_distribution(d.queries, d.pairs()),
             c("truths", "SELECT kind, round(avg(n), 2) AS mean, (list(n ORDER BY n))[least(floor(0.5 * count(*)), count(*) - 1)::INT + 1] AS median, (list(n ORDER BY n))[least(floor(0.95 * count(*)), count(*) - 1)::INT + 1] AS p95, max(n) AS largest FROM kinds GROUP BY kind",
               "per AS (SELECT entity_id, count(r.s1_id) AS raw FROM qry LEFT JOIN ranked r ON r.s1_id = entity_id GROUP BY entity_id), kinds AS (SELECT 'raw' AS kind, raw AS n FROM per UNION ALL SELECT 'capped', least(raw, 50) FROM per)"),
         ),
         "a3_passes": (lambda d: A.pass_contributions(d.truths, d.pairs()), c("truths", "SELECT pass, count(*) AS retrieved FROM (SELECT unnest(methods) AS pass FROM found WHERE rn <= 50) GROUP BY pass")),
         "a4_country": (
-            lambda d: A.recall(d.truths.join(d.src.select(F.col("entity_id").alias("s1_id"), K.country_of(F.col("country")).alias("country")), "s1_id"), d.pairs(), by="country"),
+            lambda d: A.recall(d.truths.join(d.countries, "s1_id"), d.pairs(), by="country"),
             c("truths", f"SELECT cap, country, {_RECALL} FROM found, (VALUES (50)) k(cap) GROUP BY cap, country"),
         ),
         "a4_cardinality": (
-            lambda d: A.recall(L.parse_truth(d.truth).join(d.truth.select(F.col("source1_entity_id").alias("s1_id"), F.size(F.split("matched_entity_ids", ",")).alias("cardinality")), "s1_id").where(F.startswith("cand_id", F.lit("S2-"))), d.pairs(), by="cardinality"),
+            lambda d: A.recall(L.parse_truth(d.truth).join(d.truth.select(F.col("source1_entity_id").alias("s1_id"), F.size(F.split("matched_entity_ids", ",")).alias("cardinality")), "s1_id"), d.pairs(), by="cardinality"),
             c("truths", f"SELECT cap, cardinality, {_RECALL} FROM (SELECT f.*, len(string_split(matched_entity_ids, ',')) AS cardinality FROM found f JOIN truth ON source1_entity_id = s1_id), (VALUES (50)) k(cap) GROUP BY cap, cardinality"),
         ),
         "a5_caps": (lambda d: A.recall(d.truths, d.pairs(), A.CAPS), c("truths", f"SELECT cap, {_RECALL} FROM found, (VALUES (30), (50), (75), (100)) k(cap) GROUP BY cap")),
@@ -251,27 +274,17 @@ sranked AS (SELECT *, row_number() OVER (PARTITION BY step, s1_id ORDER BY score
         "a11_average_precision": (lambda d: A.average_precision(d.scored()), c("scored", "SELECT sum(p * tp / seen) / sum(p) AS average_precision FROM (SELECT p, (sum(p) OVER (ORDER BY prob DESC))::DOUBLE AS tp, (sum(n) OVER (ORDER BY prob DESC))::DOUBLE AS seen FROM (SELECT prob, count(*) FILTER (WHERE label = 1) AS p, count(*) AS n FROM scored GROUP BY prob))")),
         "a12_breakdown": (lambda d: A.confusion(d.scored(), 0.6, ["country"]), c("scored", _METRICS.format(f"SELECT country, {_CONFUSION} FROM (SELECT country, prob >= 0.6 AS h, label = 1 AS y FROM scored) GROUP BY country"))),
         # features
-        "f1_features": (lambda d: X.features(X.paired(d.scored().select("s1_id", "cand_id", "methods", "score"), d.pre("S1"), d.pre("S2")), similarities=False).drop("methods", "score"), c("feats", Q.feature_select())),
-        "f7_jaro_winkler": (lambda d: _ascii_similarity(d).select("s1_id", "cand_id", F.round("name_jaro_winkler", 9).alias("jw")), c("feats", "SELECT s1_id, cand_id, round(jaro_winkler_similarity(na, nb), 9) AS jw FROM two WHERE " + _ASCII)),
-        "f3_indel": (lambda d: _ascii_similarity(d).select("s1_id", "cand_id", F.round("name_fuzz_ratio", 9).alias("indel")), None),
+        "f1_features": (lambda d: X.features(d.two(), similarities=False).drop("methods", "score"), c("feats", Q.feature_select())),
+        "f7_jaro_winkler": (lambda d: X.features(d.two()).select("s1_id", "cand_id", F.round("name_jaro_winkler", 9).alias("jw")), None),
+        "f3_indel": (lambda d: X.features(d.two()).select("s1_id", "cand_id", F.round("name_fuzz_ratio", 9).alias("indel")), None),
         # models
         "m1_logistic": (_model("logistic"), None), "m2_boosting": (_model("boosting"), None), "m4_coefficients": (lambda d: M.coefficients(d), None),
     }
     return out
 
 
-_ASCII = r"na <> '' AND nb <> '' AND regexp_full_match(na, '[\x00-\x7F]*') AND regexp_full_match(nb, '[\x00-\x7F]*')"
-
-
-def _ascii_similarity(d: Data) -> DataFrame:
-    both = X.paired(d.scored().select("s1_id", "cand_id", "methods", "score"), d.pre("S1"), d.pre("S2"))
-    plain = r"^[\x00-\x7F]+$"
-    return X.features(both.where(F.col("a_name_normalized").rlike(plain) & F.col("b_name_normalized").rlike(plain)))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Queries without SQL read whole texts; the others read the records that their SQL makes."""
-    return {name: (lambda spark, sf_dir, f=f, sql=sql: f(Data(spark, sf_dir, whole=sql is None))) for name, (f, sql) in _entries().items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Data(spark, sf_dir))) for name, (f, _) in _entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:

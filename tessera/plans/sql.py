@@ -37,7 +37,7 @@ _NUMBER = r"regexp_full_match(t, '\p{Nd}+')"
 _ADDRESS = f"t NOT IN {_in(V.ADDRESS_STOP_TOKENS)} AND (length(t) >= 4 OR ({_NUMBER} AND length(t) >= 2))"
 
 
-def relations(name_df=400, addr_df=150, bigram_df=200, block=500, cap=500, target="S2") -> dict[str, str]:
+def relations(name_df=400, addr_df=150, bigram_df=200, block=500, cap=500, target="source <> 'S1'") -> dict[str, str]:
     worth = "length(bin(greatest(df, 2) - 1))"
     return {
         "sources": SOURCES,
@@ -60,7 +60,7 @@ norm AS MATERIALIZED (SELECT *, CASE WHEN core_name <> '' THEN core_name ELSE na
 pre AS MATERIALIZED (SELECT *, list_filter(string_split(name_normalized, ' '), lambda t: t <> '') AS toks, CASE WHEN addr_is_empty THEN []::VARCHAR[] ELSE list_filter(string_split(addr_normalized, ' '), lambda t: t <> '') END AS atoks,
   trim(regexp_replace(name_normalized, {_TITLE}, '')) AS clean, replace(name_normalized, ' ', '') AS compact FROM norm)""",
         "keys": f"""
-tgt AS MATERIALIZED (SELECT * FROM pre WHERE source = '{target}'),
+tgt AS MATERIALIZED (SELECT * FROM pre WHERE {target}),
 keys AS MATERIALIZED (
   SELECT 'exact_name' AS pass, cc AS country, key, entity_id FROM (SELECT cc, entity_id, unnest(list_distinct(list_filter([name_normalized, clean], lambda x: x <> ''))) AS key FROM tgt WHERE name_normalized <> '')
   UNION ALL SELECT 'exact_conservative', cc, name_conservative, entity_id FROM tgt WHERE name_conservative <> name_normalized AND name_conservative <> ''
@@ -91,8 +91,8 @@ hits AS MATERIALIZED (SELECT s1_id, k.entity_id AS cand_id, pass, (CASE pass WHE
 pairs AS MATERIALIZED (SELECT s1_id, cand_id, sum(score)::BIGINT AS score, list_sort(list(DISTINCT pass)) AS methods FROM hits GROUP BY s1_id, cand_id),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, len(methods) DESC, list_contains(methods, 'exact_name')::INT DESC, (list_contains(methods, 'name_bigram') OR list_contains(methods, 'sorted_name'))::INT DESC,
   list_contains(methods, 'name_token')::INT DESC, list_contains(methods, 'addr_token')::INT DESC, cand_id DESC) AS rn, count(*) OVER (PARTITION BY s1_id) AS raw_candidate_count FROM pairs)""",
-        "truths": f"""
-truths AS MATERIALIZED (SELECT DISTINCT s1_id, cand_id FROM (SELECT source1_entity_id AS s1_id, trim(unnest(string_split(matched_entity_ids, ','))) AS cand_id FROM truth) WHERE cand_id LIKE '{target}-%'),
+        "truths": """
+truths AS MATERIALIZED (SELECT DISTINCT s1_id, cand_id FROM (SELECT source1_entity_id AS s1_id, trim(unnest(string_split(matched_entity_ids, ','))) AS cand_id FROM truth) WHERE cand_id <> ''),
 found AS MATERIALIZED (SELECT t.s1_id, t.cand_id, rn, methods, q.cc AS country FROM truths t JOIN qry q ON q.entity_id = t.s1_id LEFT JOIN ranked r ON r.s1_id = t.s1_id AND r.cand_id = t.cand_id)""",
         "scored": """
 scored AS MATERIALIZED (SELECT r.s1_id, r.cand_id, r.score, r.methods, q.cc AS country, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS label, least(1.0::DOUBLE, r.score / 150.0::DOUBLE) AS prob

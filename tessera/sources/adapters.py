@@ -1,12 +1,9 @@
 """Business records made from the tables at hand (our own design, apart from the operators).
 
-Records come from ``documents``: the name is the first four words, the address the next eight,
-the country follows from the language.  Source 1 has the documents with ids divisible by three;
-sources 2 and 3 have the others, and copies of source 1 with a legal form added, two words
-swapped or the address left out, whose links are the ground truth.
-
-``whole`` records keep the whole text: the address is all that follows the name.  The SQL below
-holds the short ones.
+Every document is a record with its whole text: the name is the first four words, the address
+all that follows, the country follows from the language.  Documents are dealt by id to three
+sources; sources 2 and 3 also have copies of source 1 with a legal form added, two words swapped
+or the address left out, whose links are the ground truth.  A null id counts as 0 here.
 """
 
 from __future__ import annotations
@@ -14,40 +11,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COUNTRIES = {"en": "US", "fr": "France", "de": "India"}
-
+from .tables import spread
 
-def _documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    country = F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv])
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (words if whole else F.slice(words, 1, 12)).alias("w"), F.coalesce(F.try_element_at(country, F.coalesce("lang", F.lit(""))), F.lit("")).alias("country"))
-    return docs.select("doc_id", F.slice("w", 1, 4).alias("n"), F.array_join(F.slice("w", F.lit(5), F.greatest(F.size("w"), F.lit(1))), " ").alias("address"), "country")
+COUNTRIES = {"en": "US", "fr": "France", "de": "India"}
 
 
-def sources(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(entity_id, business_name, business_address, country, source) of all three sources."""
-    d = _documents(spark, sf_dir, whole)
-    name = F.array_join("n", " ")
-    swapped = F.when(F.size("n") >= 2, F.array_join(F.concat(F.array(F.element_at("n", 2), F.element_at("n", 1)), F.slice("n", 3, 2)), " ")).otherwise(name)
-    address = F.when(F.col("doc_id") % 20 == 0, "").otherwise(F.col("address"))
+def _id() -> F.Column:
+    return F.coalesce(F.col("doc_id"), F.lit(0))
 
-    def rows(where: str, prefix: str, n, a) -> DataFrame:
-        return d.where(where).select(F.concat(F.lit(f"{prefix}-"), F.col("doc_id")).alias("entity_id"), n.alias("business_name"), a.alias("business_address"), "country", F.lit(prefix).alias("source"))
 
-    return (
-        rows("doc_id % 3 = 0", "S1", name, F.col("address"))
-        .unionByName(rows("doc_id % 3 = 1", "S2", name, F.col("address")))
-        .unionByName(rows("doc_id % 6 = 0", "S2", F.concat(name, F.lit(" Inc.")), address))
-        .unionByName(rows("doc_id % 3 = 2", "S3", name, F.col("address")))
-        .unionByName(rows("doc_id % 9 = 0", "S3", swapped, address))
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, business_name, business_address, country, source) of all three sources, from one scan."""
+    blanks = "\t\n\x0b\x0c\r"
+    text = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), blanks, " " * len(blanks)), " {2,}", " "))  # words with single blanks
+    country = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in COUNTRIES.items()], F.lit(""))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")).select(_id().alias("id"), text.alias("text"), country.alias("country"))
+    cut = docs.select("id", "country", "text", F.substring_index("text", " ", 4).alias("name")).select(
+        "id", "country", "name", F.split("name", " ").alias("n"), F.expr("substring(text, length(name) + 2)").alias("address")
     )
+    name = F.col("name")
+    swapped = F.when(F.size("n") >= 2, F.array_join(F.concat(F.array(F.element_at("n", 2), F.element_at("n", 1)), F.slice("n", 3, 2)), " ")).otherwise(name)
+    kept = F.when(F.col("id") % 20 == 0, "").otherwise(F.col("address"))
+    row = lambda source, n, a: F.struct(F.lit(source).alias("source"), n.alias("business_name"), a.alias("business_address"))
+    dealt = F.when(F.col("id") % 3 == 0, "S1").when(F.col("id") % 3 == 1, "S2").otherwise("S3")
+    made = F.array(row("", name, F.col("address")), F.when(F.col("id") % 6 == 0, row("S2", F.concat(name, F.lit(" Inc.")), kept)), F.when(F.col("id") % 9 == 0, row("S3", swapped, kept)))
+    rows = cut.select("id", "country", dealt.alias("dealt"), F.explode(made).alias("r")).where("r IS NOT NULL")
+    source = F.when(F.col("r.source") == "", F.col("dealt")).otherwise(F.col("r.source"))
+    return rows.select(F.concat(source, F.lit("-"), F.col("id")).alias("entity_id"), "r.business_name", "r.business_address", "country", source.alias("source"))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source1_entity_id, matched_entity_ids)."""
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 = 0").select("doc_id")
-    pick = lambda m, p: F.when(F.col("doc_id") % m == 0, F.concat(F.lit(p), F.col("doc_id")))
-    return ids.select(F.concat(F.lit("S1-"), F.col("doc_id")).alias("source1_entity_id"), F.concat_ws(",", pick(6, "S2-"), pick(9, "S3-")).alias("matched_entity_ids"))
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(_id().alias("id")).where("id % 3 = 0")
+    pick = lambda m, p: F.when(F.col("id") % m == 0, F.concat(F.lit(p), F.col("id")))
+    return ids.select(F.concat(F.lit("S1-"), F.col("id")).alias("source1_entity_id"), F.concat_ws(",", pick(6, "S2-"), pick(9, "S3-")).alias("matched_entity_ids"))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +56,11 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in SQL, for comparison: relations docs, src and truth.
 SQL = r"""
-docs AS MATERIALIZED (SELECT doc_id, list_slice(w, 1, 4) AS n, array_to_string(list_slice(w, 5, 12), ' ') AS address, CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'France' WHEN 'de' THEN 'India' ELSE '' END AS country
-  FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+docs AS MATERIALIZED (SELECT id, list_slice(w, 1, 4) AS n, array_to_string(list_slice(w, 5, len(w)), ' ') AS address, CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'France' WHEN 'de' THEN 'India' ELSE '' END AS country
+  FROM (SELECT coalesce(doc_id, 0) AS id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
 src AS MATERIALIZED (
-  SELECT 'S1-' || doc_id AS entity_id, array_to_string(n, ' ') AS business_name, address AS business_address, country, 'S1' AS source FROM docs WHERE doc_id % 3 = 0
-  UNION ALL SELECT 'S2-' || doc_id, array_to_string(n, ' '), address, country, 'S2' FROM docs WHERE doc_id % 3 = 1
-  UNION ALL SELECT 'S2-' || doc_id, array_to_string(n, ' ') || ' Inc.', CASE WHEN doc_id % 20 = 0 THEN '' ELSE address END, country, 'S2' FROM docs WHERE doc_id % 6 = 0
-  UNION ALL SELECT 'S3-' || doc_id, array_to_string(n, ' '), address, country, 'S3' FROM docs WHERE doc_id % 3 = 2
-  UNION ALL SELECT 'S3-' || doc_id, CASE WHEN len(n) >= 2 THEN array_to_string([n[2], n[1]] || list_slice(n, 3, 4), ' ') ELSE array_to_string(n, ' ') END, CASE WHEN doc_id % 20 = 0 THEN '' ELSE address END, country, 'S3' FROM docs WHERE doc_id % 9 = 0),
-truth AS (SELECT 'S1-' || doc_id AS source1_entity_id, concat_ws(',', CASE WHEN doc_id % 6 = 0 THEN 'S2-' || doc_id END, CASE WHEN doc_id % 9 = 0 THEN 'S3-' || doc_id END) AS matched_entity_ids FROM documents WHERE doc_id % 3 = 0)
+  SELECT CASE id % 3 WHEN 0 THEN 'S1' WHEN 1 THEN 'S2' ELSE 'S3' END || '-' || id AS entity_id, array_to_string(n, ' ') AS business_name, address AS business_address, country, CASE id % 3 WHEN 0 THEN 'S1' WHEN 1 THEN 'S2' ELSE 'S3' END AS source FROM docs
+  UNION ALL SELECT 'S2-' || id, array_to_string(n, ' ') || ' Inc.', CASE WHEN id % 20 = 0 THEN '' ELSE address END, country, 'S2' FROM docs WHERE id % 6 = 0
+  UNION ALL SELECT 'S3-' || id, CASE WHEN len(n) >= 2 THEN array_to_string([n[2], n[1]] || list_slice(n, 3, 4), ' ') ELSE array_to_string(n, ' ') END, CASE WHEN id % 20 = 0 THEN '' ELSE address END, country, 'S3' FROM docs WHERE id % 9 = 0),
+truth AS (SELECT 'S1-' || id AS source1_entity_id, concat_ws(',', CASE WHEN id % 6 = 0 THEN 'S2-' || id END, CASE WHEN id % 9 = 0 THEN 'S3-' || id END) AS matched_entity_ids FROM docs WHERE id % 3 = 0)
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 
@@ -75,13 +76,35 @@ def measured(into: dict):
     into["peak_mb"] = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from files in the shared checkpoint folder: later plans begin there, and survive lost executors.
+#: Rows up to which a table is dealt out anew over all cores; a larger one has splits enough of its own.
+FEW_ROWS = 1_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has so few rows that its file may be one split; a larger table is left as it is and never shuffled for this."""
+    if df.limit(FEW_ROWS + 1).count() > FEW_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
-    The folder is that of spark.checkpoint.dir; one under the warehouse is set only where none is.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one under the warehouse is set only where none is."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df from Parquet files in the shared folder: later plans begin there, read only the columns they name, and survive lost executors."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder, for small tables and plans that a fit reads again and again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

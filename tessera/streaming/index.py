@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..operators import blocking as B
 from ..operators import keys as K
+from ..sources.tables import saved
 
 
 def append(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -32,6 +33,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def hits(queries: DataFrame, index: DataFrame, options: B.Options = B.Options(), limits: K.Limits = K.Limits()) -> DataFrame:
     """Hits of preprocessed queries in a stored index, as blocking.hits gives from records."""
-    probes = B.chosen_probes(B.probe_keys(queries, options, limits), K.document_frequencies(index, limits), options)
-    kept = K.first_of_sorted(index, limits).select("pass", "country", "key", F.col("entity_id").alias("cand_id"))
-    return probes.join(kept, ["pass", "country", "key"]).select("s1_id", "cand_id", "pass", "score")
+    return B.look_up(B.probe_keys(queries, options, limits), index, saved(K.key_counts(index)), options, limits)

@@ -49,7 +49,7 @@ def test_whole_texts_and_all_sources_reach_the_flagship_query(spark, tmp_path):
     tail = [f"tailword{k}" for k in range(30)]
     text = lambda p: " ".join([f"{p}word{k}" for k in range(12)] + tail)
     spark.createDataFrame([(0, text("a"), "en"), (1, text("b"), "en"), (2, text("c"), "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    whole = {r.entity_id: r.business_address for r in adapters.sources(spark, str(tmp_path), whole=True).collect()}
+    whole = {r.entity_id: r.business_address for r in adapters.sources(spark, str(tmp_path)).collect()}
     assert whole["S3-2"] == " ".join([f"cword{k}" for k in range(4, 12)] + tail)
     got = {(r.source1_entity_id, r.candidate_entity_id, r.candidate_source) for r in registry.flagship(spark, str(tmp_path)).collect()}
     assert {("S1-0", "S2-1", "S2"), ("S1-0", "S3-2", "S3")} <= got
