@@ -111,13 +111,33 @@ class Filters:
         return np.clip((out - lens[:, None] * self.fp) / np.maximum(1 - self.fp, 1e-9), 0, None)
 
 
+def _first_by_hash(spark: SparkSession, labelled: DataFrame, most: int) -> DataFrame:
+    """(lang, doc_id): of each language the most ids that come first by hash, ties by id, or all of them.
+
+    A language's hashes are cut off where some four times as many ids are expected, so that no task
+    ranks a whole language; where repeated ids leave too few below the cut, it is raised.
+    """
+    sizes = labelled.groupBy("lang").count().collect()  # a row a language
+    cut = {r[0]: 4.0 * most / r[1] for r in sizes}
+    number = (F.shiftright(F.xxhash64("doc_id"), 11) + F.lit(1 << 52)) / float(1 << 53)  # in [0, 1], in order of the hash
+    rows = labelled.select("lang", "doc_id", number.alias("_at"), F.xxhash64("doc_id").alias("_h"))
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    while True:
+        cuts = spark.createDataFrame(list(cut.items()), "lang string, cut double")
+        below = rows.join(F.broadcast(cuts), "lang").where(F.col("_at") <= F.col("cut")).select("lang", "doc_id", "_h").distinct()
+        chosen = C.save(spark, below.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("lang", "doc_id"))
+        got = {r[0]: r[1] for r in chosen.groupBy("lang").count().collect()}
+        few = [x for x, c in cut.items() if c < 1 and got.get(x, 0) < most]
+        if not few:
+            return chosen
+        cut |= {x: 8 * cut[x] for x in few}
+
+
 def train(spark: SparkSession, docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filters:
     """Filters from at most train_docs documents of each language, those first by hash."""
     C.small_batches(spark)
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= train_docs).select("doc_id", "lang").distinct()
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most train_docs rows a language are broadcast
+    sample = labelled.join(F.broadcast(_first_by_hash(spark, labelled, train_docs)), ["doc_id", "lang"])  # at most train_docs rows a language are broadcast
 
     def grams(batches):
         import pyarrow as pa

@@ -72,3 +72,14 @@ def test_one_letter_has_an_n_gram():
     codes, lens = L.gram_codes(["a", "5 g", "", "12", "ab"])
     assert lens.tolist() == [1, 1, 0, 0, 1]
     assert [int(c).to_bytes(4, "big") for c in codes] == [b" a  ", b" g  ", b" ab "]
+
+
+def test_the_sample_is_the_first_by_hash_though_ids_repeat(spark, make):
+    ids = [k for k in range(60)] + [60] * 3000 + [None] * 5
+    labelled = make([(i, "words", "en" if i is None or i % 2 == 0 else "fr", "s", None, None, None) for i in ids]).select("doc_id", "text", "lang").where("doc_id is not null")
+    got = {(r.lang, r.doc_id) for r in L._first_by_hash(spark, labelled, 20).collect()}
+    want = set()
+    for lang in ("en", "fr"):
+        own = labelled.where(f"lang = '{lang}'").select("doc_id", L.F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(20)
+        want |= {(lang, r.doc_id) for r in own.collect()}
+    assert got == want
