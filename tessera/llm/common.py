@@ -238,13 +238,18 @@ def merge_keys(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 # --------------------------------------------------------------------------- components
 
 
+#: Nodes with more links than this, and than one in so many of all, are hubs.
+HUB_LINKS, HUBS = 1000, 1000
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for the links (a, b): the smallest node that links reach.
 
     Alternating large-star and small-star steps: every node's neighbours are linked to the
     smallest node near it, until nothing changes.  A step is one grouped minimum (combined
-    before its shuffle, so that a hub is no hot key) and one join; each step's links are
-    written to the shared folder.  No links give no rows.
+    before its shuffle) and one join; each step's links are written to the shared folder.  Nodes
+    with more than one in ``HUBS`` of all links, fewer than ``HUBS`` by construction, are joined by
+    broadcast, so that no task gets all links of a hub.  No links give no rows.
     """
     links = save(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     if links.isEmpty():
@@ -252,8 +257,14 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        moved = both.join(low, "a")
+        low = save(spark, both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n"))
+        rows, most = low.agg(F.sum("n"), F.max("n")).first()
+        limit = max(HUB_LINKS, rows // HUBS)
+        if most > limit:
+            hubs = F.broadcast(low.where(F.col("n") > limit))  # fewer than HUBS rows
+            moved = both.join(hubs, "a").unionByName(both.join(hubs, "a", "left_anti").join(low.where(F.col("n") <= limit), "a"))
+        else:
+            moved = both.join(low, "a")
         if large:  # larger neighbours go to the smallest node near
             return moved.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         # smaller neighbours, and the node itself, go to the smallest of them
@@ -264,7 +275,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     before = mark(links)
     while True:
-        step = star(links, True).where("a <> b").distinct()
+        step = save(spark, star(links, True).where("a <> b").distinct())
         links = save(spark, star(step, False).where("a <> b").distinct())
         after = mark(links)
         if after == before:

@@ -110,3 +110,13 @@ def test_components(spark):
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: find(x) for x in linked}
     assert C.components(spark, spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("hub", [1, 1000])
+def test_components_of_hubs_chains_and_cycles(spark, monkeypatch, hub):
+    monkeypatch.setattr(C, "HUB_LINKS", hub)
+    monkeypatch.setattr(C, "HUBS", 8)
+    links = [(500, k) for k in range(501, 700)] + [(k, 999) for k in range(400, 499)] + [(k, k + 1) for k in range(40)] + [(900, 901), (901, 902), (902, 900), (7, 7)]
+    got = {r.node: r.component for r in C.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {k: 500 for k in range(500, 700)} | {k: 400 for k in [*range(400, 499), 999]} | {k: 0 for k in range(41)} | {900: 900, 901: 900, 902: 900}
+    assert got == want
