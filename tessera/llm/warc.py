@@ -4,6 +4,8 @@ Writing: payloads of at least ``min_dedup`` bytes are grouped by SHA-1 (grouped
 combined before its shuffle); the row with the largest page_id is the response and the others
 revisit it without a payload.  Each record is one string, written by Spark's text writer with
 the record's last newline as its separator, into the shared folder: any executor can read it.
+Records are written by classes of size, each with its own number of records a file, so that a
+file has at most ``FILE_BYTES`` of blocks, or one record.
 
 Reading: a file is searched chunk by chunk for the magic.  Each find is only a candidate, since
 a payload may hold the magic too: from its header comes the offset of its successor.  Pointer
@@ -28,8 +30,8 @@ from .common import shared_folder
 
 MAGIC = b"WARC/1.1\r\n"
 MIN_DEDUP = 1000
-#: Records a file; it bounds what a reading task holds.
-RECORDS_PER_FILE = 4096
+#: Records a file, and bytes of blocks; they bound what a reading task holds.
+RECORDS_PER_FILE, FILE_BYTES = 4096, 64 << 20
 #: The rows (16 bytes each) up to which the table of revisited payloads is broadcast; above, it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 CHUNK = 4 << 20
@@ -56,11 +58,16 @@ def plan_records(pages: DataFrame, min_dedup: int = MIN_DEDUP) -> DataFrame:
     )
 
 
+def block_of(records: DataFrame) -> F.Column:
+    """What a record holds: a revisit nothing, a response its payload."""
+    return F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("payload"))
+
+
 def as_text(records: DataFrame) -> DataFrame:
     """One string a record, without its last newline."""
     eol = F.lit("\r\n")
     revisit = F.col("record_type") == "revisit"
-    block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    block = block_of(records)
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
     name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">"))
     header = F.concat(
@@ -72,8 +79,23 @@ def as_text(records: DataFrame) -> DataFrame:
     return records.select(F.concat(header, block, F.lit("\r\n\r")).alias("value"))
 
 
-def write(pages: DataFrame, path: str, min_dedup: int = MIN_DEDUP) -> None:
-    as_text(plan_records(pages, min_dedup)).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def size_class(size: F.Column, file_bytes: int) -> F.Column:
+    """0 for blocks of which RECORDS_PER_FILE fit a file, and one more for each sixteenth of that number; the last class has one record a file."""
+    n, k, out = RECORDS_PER_FILE, 0, None
+    while n > 1:
+        fits = size <= file_bytes // n
+        out = F.when(fits, k) if out is None else out.when(fits, k)
+        n, k = n // 16, k + 1
+    return out.otherwise(k)
+
+
+def write(pages: DataFrame, path: str, min_dedup: int = MIN_DEDUP, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of pages under path, a folder for each class of sizes that there is (and for the smallest); one pass over pages for each."""
+    sizes = pages.select(size_class(F.octet_length(F.coalesce(F.col("html"), F.lit(""))), file_bytes).alias("k")).distinct().collect()  # at most four rows
+    records = plan_records(pages, min_dedup)
+    for k in sorted({0, *(r.k for r in sizes)}):
+        own = records.where(size_class(F.octet_length(block_of(records)), file_bytes) == k) if len(sizes) > 1 or k else records
+        as_text(own).write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> 4 * k)).text(f"{path}/size={k}")
 
 
 def candidates(data: memoryview | bytes, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +171,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 for k in range(0, len(rows), 1024):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1024], strict=True), arrow.types, strict=True)], schema=arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(parse, RECORD)
 
 

@@ -69,3 +69,12 @@ def test_broken_chains_raise():
     with pytest.raises(ValueError):
         W.reachable(*W.candidates(data), len(data))
     assert W.reachable(*W.candidates(b""), 0).tolist() == []
+
+
+def test_files_are_bounded_by_bytes_and_records(spark, tmp_path):
+    data = [(k, f"{k} " + "x" * n) for k, n in enumerate([10] * 50 + [3000] * 40 + [40_000] * 30 + [900_000] * 5)]
+    W.write(pages(spark, data).coalesce(1), str(tmp_path / "a"), file_bytes=1 << 20)
+    files = sorted(p.stat().st_size for p in (tmp_path / "a").rglob("part-*"))
+    assert files[-1] < (1 << 20) + 16 * 400 and sum(f > 800_000 for f in files) == 5
+    got = sorted((r.page_id, bytes(r.payload).decode()) for r in W.read(spark, str(tmp_path / "a")).collect())
+    assert got == data
