@@ -7,7 +7,8 @@ escape the symbols of the longer context are excluded from the shorter ones.  As
 symbols also follow its suffixes, excluded sets are nested, so each six-byte string has one
 fixed code length, from sums over its contexts.  Texts begin after five start marks (0xFE) and
 end with an end mark (0xFF), neither of which occurs in UTF-8: the score is the log10
-probability of the whole text, its end included.
+probability of the whole text, its end included, and ``score_per_byte`` that over the bytes and the
+end, which sets texts apart whatever their length.
 
 Every training text is counted whole, and nothing is sampled or capped.  Word and string counts
 go through the packed key exchange: a block of documents sends its distinct keys and counts and
@@ -41,7 +42,7 @@ CELLS = 1 << 22
 WORDS, STRINGS = 0, 1
 ALPHABET = 256
 
-FIELDS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+FIELDS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, score_per_byte double"
 
 
 def is_held_out() -> F.Column:
@@ -347,7 +348,7 @@ def score(spark: SparkSession, docs: DataFrame, block_bytes: int = C.BLOCK_BYTES
         import pyarrow as pa
 
         C.release()
-        arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
+        arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("score_per_byte", pa.float64())])
         if not table.num_rows:
             return arrow.empty_table()
         b = Block(table, n_slices)
@@ -363,7 +364,7 @@ def score(spark: SparkSession, docs: DataFrame, block_bytes: int = C.BLOCK_BYTES
         s = b.strings
         cost = b.gather(STRINGS, got[STRINGS])[s.ids]
         score = np.add.reduceat(cost, np.cumsum(s.lens) - s.lens)
-        return pa.table([b.doc_ids, pa.array(b.held), pa.array(b.lens + 1), pa.array(n_known), pa.array(np.full(len(b.lens), n_all)), pa.array(base_sum), pa.array(score), pa.array(s.lens - 1)], schema=arrow)
+        return pa.table([b.doc_ids, pa.array(b.held), pa.array(b.lens + 1), pa.array(n_known), pa.array(np.full(len(b.lens), n_all)), pa.array(base_sum), pa.array(score), pa.array(s.lens - 1), pa.array(score / s.lens)], schema=arrow)
 
     return rows.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(judge, FIELDS)
 
