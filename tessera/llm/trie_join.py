@@ -291,7 +291,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     least = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     linked = least.join(classes, "node")
     joined = linked.groupBy("component").agg(F.min("least").alias("id"))
-    of = least.join(linked.join(joined, "component").select("node", "id"), "node", "left").select("node", F.coalesce("id", "least").alias("id"))
+    # From files, so that the last join shuffles both its sides and Spark can split the copies of one text.
+    of = C.save(spark, least.join(linked.join(joined, "component").select("node", "id"), "node", "left").select("node", F.coalesce("id", "least").alias("id")))
     return sets.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("component_id"))
 
 
