@@ -17,8 +17,8 @@ trie, and a probe walks it once, so that sets with a common beginning share the
 overlap; a subtree is left as soon as the overlap so far and the shingles left on either side
 cannot reach what the two sizes need.
 
-No group is emitted as pairs, no set, link or component is collected to the driver, and a hot
-shingle is dealt out by salt.
+No group is emitted as pairs, no set, link or component is collected to the driver, and the
+members of a hot centre or the probes of a hot block are dealt to as many parts as their count needs.
 
 Defined cases: texts without words (or null) have an empty set and link with nothing; fewer than
 five words are one shingle of the whole sequence; repeated rows have equal sets; a row without
@@ -37,8 +37,8 @@ from . import common as C
 SHINGLE = 5
 #: Similarity of at least PART / WHOLE links.
 PART, WHOLE = 80, 100
-#: Sets in one trie, and parts into which the members of one centre are dealt.
-TRIE, SALTS = 256, 16
+#: Sets in one trie, and in a part of the members of one centre, or of the probes of one block.
+TRIE = 256
 #: Nodes in a block of the second comparison.
 BLOCK = 1024
 
@@ -243,8 +243,15 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     return rows.drop("rank").join(several, "shingle")
 
 
-def _salt(n: int = SALTS) -> F.Column:
-    return F.pmod(F.xxhash64("node"), F.lit(n)).cast("string")
+def _dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, node) with grp: a part of the key's rows of about TRIE nodes, as many parts as the key needs.
+
+    Only keys with more rows than that are counted into the table of parts, so it is shorter than
+    rows by that factor; it comes from files, so that Spark joins it by its size or splits a hot key.
+    """
+    parts = C.save(spark, rows.groupBy(key).agg(F.ceil(F.count("*") / TRIE).alias("parts")).where("parts > 1"))
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    return rows.join(parts, key, "left").select(key, "node", F.concat_ws("/", F.col(key).cast("string"), part.cast("string")).alias("grp"))
 
 
 def _rows(keys: DataFrame, nodes: DataFrame, member: bool) -> DataFrame:
@@ -257,11 +264,11 @@ def links(spark: SparkSession, sets: DataFrame) -> DataFrame:
     meet = C.save(spark, prefixes(nodes))
 
     # Every node against the centres of its prefix shingles.
-    grp = F.concat_ws(":", "centre", _salt())
     alike = F.least("n", "centre_n") * WHOLE >= F.greatest("n", "centre_n") * PART
-    pairs = meet.where((F.col("node") != F.col("centre")) & alike).select("centre", "node").distinct()
-    members = pairs.select(grp.alias("grp"), "node")
-    centres = pairs.select(grp.alias("grp"), F.col("centre").alias("node")).distinct()
+    pairs = C.save(spark, meet.where((F.col("node") != F.col("centre")) & alike).select("centre", "node").distinct())
+    members = C.save(spark, _dealt(spark, pairs, "centre"))
+    centres = members.select("grp", F.col("centre").alias("node")).distinct()
+    members = members.select("grp", "node")
     first = C.save(spark, compare(_rows(members, nodes, True).unionByName(_rows(centres, nodes, False)), hold_members=False))
 
     # Shingles that still hold several components.
@@ -277,10 +284,9 @@ def links(spark: SparkSession, sets: DataFrame) -> DataFrame:
     placed = C.save(spark, homes.join(parts, "home").select("node", block.alias("block")))
     under = rest.select("shingle", "node").join(placed, "node").select("shingle", "block").distinct()
     probes = C.save(spark, rest.where("component <> largest").select("shingle", "node").join(under, "shingle").select("node", "block").distinct())
-    grp = F.concat_ws("/", "block", _salt())
-    groups = probes.select(grp.alias("grp"), "block").distinct()
-    held = groups.join(placed, "block").select("grp", "node")
-    second = compare(_rows(held, nodes, True).unionByName(_rows(probes.select(grp.alias("grp"), "node"), nodes, False)), hold_members=True)
+    probes = C.save(spark, _dealt(spark, probes, "block"))
+    held = probes.select("grp", "block").distinct().join(placed, "block").select("grp", "node")
+    second = compare(_rows(held, nodes, True).unionByName(_rows(probes.select("grp", "node"), nodes, False)), hold_members=True)
     return first.unionByName(C.save(spark, second))
 
 
