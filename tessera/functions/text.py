@@ -1,8 +1,8 @@
 """Normalisation of names and addresses as column expressions (P1 to P10).
 
 NFKC has no built-in, so texts cross to Python in Arrow batches, names and addresses together and
-once.  What can be done to the whole text while it is there is done there, at a fraction of what
-the same chain of JVM expressions costs; tokens, legal forms and all that follows stay in the JVM.  Character classes are tables made from Python's own
+once.  What can be done to the whole text while it is there is done there, at less than
+half of what the same chain of JVM expressions costs; tokens, legal forms and all that follows stay in the JVM.  Character classes are tables made from Python's own
 Unicode data, so that no engine's idea of a category matters.
 """
 
