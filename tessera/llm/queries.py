@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_rlz_dedup": rlz_dedup.SQL,
         "op6_mix_sources": mixing.SQL,
         "op7_trie_jaccard": trie_join.SQL,
         "op8_url_rules": url_rules.SQL,

@@ -161,3 +161,15 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return {"doc_id": i, "n_words": len(words), "n_removed": len(words) - len(left), "kept_sha256": hashlib.sha256(b" ".join(left)).hexdigest(), "n_factors": len(factors)}
 
     return references(spark, docs, made, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long")
+
+
+#: The same in SQL: windows as joined words, the smallest document of each, and the words that no found window covers.
+SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS words FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+f AS MATERIALIZED (SELECT doc_id, i, ref FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS ref FROM g) WHERE ref < doc_id),
+n AS (SELECT doc_id, count(*) FILTER (WHERE before IS NULL OR before <> i - 1 OR ref_before <> ref) AS n_factors FROM (SELECT doc_id, i, ref, lag(i) OVER o AS before, lag(ref) OVER o AS ref_before FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p FROM f),
+k AS (SELECT u.doc_id, count(*) AS n_kept, string_agg(u.word, ' ' ORDER BY u.p) AS kept FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) u ANTI JOIN c ON c.doc_id = u.doc_id AND c.p = u.p GROUP BY u.doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256, coalesce(n.n_factors, 0)::BIGINT AS n_factors FROM w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

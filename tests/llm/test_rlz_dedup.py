@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 
 from tessera.llm import rlz_dedup as R
@@ -73,3 +75,21 @@ def test_negative_and_huge_ids(spark, make):
     p = " ".join(f"p{k}" for k in range(13))
     data = [(i, p, None, None, None, None, None) for i in (-(1 << 62), 5, (1 << 62), -7)]
     assert sorted((tuple(r)[:4] for r in R.query(spark, make(data)).collect()), key=repr) == brute([(r[0], p) for r in data])
+
+
+def test_sql_equals_brute_force():
+    """The SQL beside the query is held against plain Python, apart from the operator."""
+    data = list(enumerate(overlapping(3) + ["", "a", " \t\n", None], 1))
+    documents = pd.DataFrame(data, columns=["doc_id", "text"])
+    db = duckdb.connect()
+    db.register("documents", documents)
+    got = db.execute(R.SQL).fetchall()
+    assert sorted((r[:4] for r in got), key=repr) == brute([(i, t or "") for i, t in data])
+
+
+def test_query_equals_sql(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    df = R.query(spark, spark.read.parquet(path))
+    assert sorted(map(tuple, df.collect())) == sorted(db.execute(R.SQL).fetchall())
