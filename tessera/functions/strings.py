@@ -2,11 +2,16 @@
 
 The ratio is the normalised indel similarity 2 L / (m + n) with L the length of the longest
 common subsequence, counted 64 cells and more at a time on whole numbers used as bit vectors.
-One Arrow batch of pairs crosses to Python once for all eight values.
+One Arrow batch of pairs crosses to Python once for all eight values.  Where what two strings do
+not share at their ends is short, as in names and most addresses, all pairs of the batch take a
+step at once on arrays of 64-bit words; longer ones go one by one.  Both give the same numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,25 +40,29 @@ def _common(a: str, b: str) -> int:
 def _bits(a: str, b: str, at: dict[str, int]) -> int:
     full = (1 << len(a)) - 1
     row, get = full, at.get
-    for c in b:
-        u = get(c)
-        if u is not None:
-            u &= row
-            row = (row + u | row - u) & full
+    for k in range(0, len(b), 64):  # a step carries one bit at most beyond the vector, which is cut off now and then
+        for c in b[k : k + 64]:
+            u = get(c)
+            if u is not None:
+                u &= row
+                row = row + u | row ^ u
+        row &= full
     return len(a) - row.bit_count()
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence; what both begin or end with is part of one."""
+def _trimmed(a: str, b: str) -> tuple[int, str, str]:
+    """The length of what both begin and end with, and the rest of each, the shorter one first."""
     k = _common(a, b)
     a, b = a[k:], b[k:]
-    if not a or not b:
-        return k
     e = _common(a[::-1], b[::-1])
     a, b = a[: len(a) - e], b[: len(b) - e]
-    if len(a) > len(b):  # the shorter one is passed over, on a longer bit vector
-        a, b = b, a
-    return k + e + (_bits(b, a, _places(b)) if a else 0)
+    return (k + e, a, b) if len(a) <= len(b) else (k + e, b, a)
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence; what both begin or end with is part of one."""
+    k, a, b = _trimmed(a, b)
+    return k + (_bits(b, a, _places(b)) if a else 0)  # the shorter one is passed over, on a longer bit vector
 
 
 def ratio(a: str, b: str) -> float:
@@ -90,17 +99,22 @@ def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-def token_set_ratio(a: str, b: str) -> float:
+def _token_sets(a: str, b: str) -> tuple[float, str, str]:
+    """A value that the token set ratio reaches, and two strings whose ratio it reaches as well."""
     s, t = set(a.split()), set(b.split())
     if not s or not t:
-        return 0.0
+        return 0.0, "", "x"
     both, one, two = " ".join(sorted(s & t)), " ".join(sorted(s - t)), " ".join(sorted(t - s))
     if both and (not one or not two):
-        return 1.0
+        return 1.0, "", "x"
     first, second = f"{both} {one}".strip(), f"{both} {two}".strip()
-    best = ratio(first, second)
     # the common words begin both: their ratio to either is known
-    return max(best, *(2.0 * len(both) / (len(both) + len(x)) for x in (first, second))) if both else best
+    return max(2.0 * len(both) / (len(both) + len(x)) for x in (first, second)), first, second
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    known, first, second = _token_sets(a, b)
+    return max(known, ratio(first, second))
 
 
 def jaro(a: str, b: str) -> float:
@@ -134,18 +148,165 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     return s + same * weight * (1 - s)
 
 
+# --------------------------------------------------------------------------- many pairs at once
+
+#: Letters of the shorter string, in words of 64, and of the longer one, up to which pairs take their steps together.
+WORDS, LETTERS = 8, 4096
+#: Pairs that take their steps together: at most so many, and at least so many to be worth it.
+LANES, FEW = 2048, 64
+_ONES = np.uint64((1 << 64) - 1)
+
+
+def _letters(strings: Sequence[str], width: int, pad: int) -> np.ndarray:
+    """Code points, a row a string, filled up with pad."""
+    lens = np.fromiter(map(len, strings), np.int64, len(strings))
+    out = np.full((len(strings), width), pad, np.uint32)
+    out[np.arange(width) < lens[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _dealt(lanes: list[tuple]) -> list[list[tuple]]:
+    """Lanes (size, steps, ...) in parts of one size and of steps of much the same number."""
+    parts: list[list[tuple]] = []
+    for lane in sorted(lanes, key=lambda x: x[:2]):
+        first = parts[-1][0] if parts else None
+        if first and first[0] == lane[0] and lane[1] <= 1.25 * first[1] + 8 and len(parts[-1]) < LANES:
+            parts[-1].append(lane)
+        else:
+            parts.append([lane])
+    return parts
+
+
+def _row_masks(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each row the places of a that hold the letter c, as words of 64 bits."""
+    return np.packbits(a == c[:, None], axis=1, bitorder="little").view(np.uint64)
+
+
+def _lanes(a: Sequence[str], b: Sequence[str], words: int) -> np.ndarray:
+    """Lengths of the longest common subsequences of a[k], of at most 64 * words letters, and b[k]."""
+    held = _letters(a, 64 * words, 0xFFFFFFFF)  # neither filling is a code point, and they differ
+    passed = np.ascontiguousarray(_letters(b, max(map(len, b)), 0xFFFFFFFE).T)
+    row = np.full((words, len(a)), _ONES)
+    for c in passed:
+        masks, carry = _row_masks(held, c), None
+        for w in range(words):
+            old = row[w]
+            u = masks[:, w] & old
+            total = old + u
+            over = total < u
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            row[w] = total | (old ^ u)
+            carry = over.astype(np.uint64)
+    return np.bitwise_count(~row).sum(axis=0, dtype=np.int64)
+
+
+def lcs_many(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """lcs of each pair."""
+    out, lanes = np.zeros(len(pairs), np.int64), []
+    for k, (a, b) in enumerate(pairs):
+        out[k], a, b = _trimmed(a, b)
+        if not a:
+            continue
+        if len(b) <= 64:  # one word holds either: the shorter one is passed over
+            lanes.append((1, len(a), k, b, a))
+        elif len(a) <= 64 * WORDS and len(b) <= LETTERS:
+            lanes.append((-(-len(a) // 64), len(b), k, a, b))
+        else:
+            out[k] += _bits(b, a, _places(b))
+    for part in _dealt(lanes):
+        _, _, at, held, passed = zip(*part, strict=True)
+        if len(part) < FEW:
+            out[list(at)] += [_bits(a, b, _places(a)) for a, b in zip(held, passed, strict=True)]
+        else:
+            out[list(at)] += _lanes(held, passed, part[0][0])
+    return out
+
+
+def ratios(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """ratio of each pair."""
+    size = np.fromiter((len(a) + len(b) for a, b in pairs), np.int64, len(pairs))
+    return np.where(size > 0, 2.0 * lcs_many(pairs) / np.maximum(size, 1), 1.0)
+
+
+def _windows(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """_best_window of pairs whose a have one length of at most 64."""
+    m, width = len(a[0]), max(map(len, b))
+    held = _letters(a, 64, 0xFFFFFFFF)
+    passed = _letters(b, width, 0xFFFFFFFE)
+    ends = width + m - 1
+    # No letter of a on either side of b, so that every window has m places.
+    masks = np.zeros((len(a), ends + m - 1), np.uint64)
+    for j in range(width):
+        masks[:, m - 1 + j] = _row_masks(held, passed[:, j])[:, 0]
+    row = np.full((len(a), ends), _ONES)
+    for s in range(m):
+        u = row & masks[:, s : s + ends]
+        row = (row + u) | (row ^ u)
+    end = np.arange(1, ends + 1)
+    size = np.minimum(end, np.fromiter(map(len, b), np.int64, len(b))[:, None]) - np.maximum(0, end - m)
+    return np.where(size > 0, 2.0 * np.bitwise_count(~row) / (m + np.maximum(size, 1)), 0.0).max(axis=1)
+
+
+def partial_ratios(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """partial_ratio of each pair."""
+    out, lanes = np.zeros(len(pairs)), []
+    for k, (a, b) in enumerate(pairs):
+        if len(a) > len(b):
+            a, b = b, a
+        if not a or len(a) > 64 or len(b) > 8 * 64 or a in b:
+            out[k] = partial_ratio(a, b)
+            continue
+        lanes.append((len(a), len(b), k, a, b))
+        if len(a) == len(b):
+            lanes.append((len(a), len(b), k, b, a))
+    for part in _dealt(lanes):
+        _, _, at, a, b = zip(*part, strict=True)
+        np.maximum.at(out, list(at), _windows(a, b))
+    return out
+
+
+def _sorted_words(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    return [(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) for a, b in pairs]
+
+
+def token_sort_ratios(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """token_sort_ratio of each pair."""
+    return ratios(_sorted_words(pairs))
+
+
+def token_set_ratios(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """token_set_ratio of each pair."""
+    known = [_token_sets(a, b) for a, b in pairs]
+    return np.maximum([k for k, _, _ in known], ratios([(a, b) for _, a, b in known])) if known else np.zeros(0)
+
+
+def jaro_winklers(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """jaro_winkler of each pair."""
+    return np.array([jaro_winkler(a, b) for a, b in pairs], float)
+
+
 FIELDS = ("name_fuzz_ratio", "name_fuzz_partial_ratio", "name_token_sort_ratio", "name_token_set_ratio", "name_jaro_winkler", "addr_fuzz_ratio", "addr_token_sort_ratio", "addr_token_set_ratio")
-_NAME = (ratio, partial_ratio, token_sort_ratio, token_set_ratio, jaro_winkler)
-_ADDRESS = (ratio, token_sort_ratio, token_set_ratio)
+_NAME = (ratios, partial_ratios, token_sort_ratios, token_set_ratios, jaro_winklers)
+_ADDRESS = (ratios, token_sort_ratios, token_set_ratios)
+
+
+def _of_column(first: pd.Series, second: pd.Series, functions: tuple) -> np.ndarray:
+    """A row a pair: 0 where either is empty (null is empty), 1 where they are equal, or each function's value."""
+    pairs = [(a or "", b or "") for a, b in zip(first, second, strict=True)]
+    out = np.zeros((len(pairs), len(functions)))
+    out[[k for k, (a, b) in enumerate(pairs) if a and a == b]] = 1.0
+    at = [k for k, (a, b) in enumerate(pairs) if a and b and a != b]
+    if at:
+        unlike = [pairs[k] for k in at]
+        out[at] = np.stack([f(unlike) for f in functions], axis=1)
+    return out
 
 
 @F.pandas_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in FIELDS]))  # no text: workers import this without a session
 def _metrics(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p, q, x, y in zip(n1, n2, a1, a2, strict=True):
-        name = [1.0 * (p == q and p != "")] * 5 if not p or not q else [1.0] * 5 if p == q else [f(p, q) for f in _NAME]
-        rows.append(name + ([0.0] * 3 if not x or not y else [1.0] * 3 if x == y else [f(x, y) for f in _ADDRESS]))
-    return pd.DataFrame(rows, columns=FIELDS)
+    return pd.DataFrame(np.hstack([_of_column(n1, n2, _NAME), _of_column(a1, a2, _ADDRESS)]), columns=FIELDS)
 
 
 def metrics(name1: Column, name2: Column, addr1: Column, addr2: Column) -> Column:

@@ -40,3 +40,33 @@ def test_known_values():
     assert S.jaro_winkler("abc", "xyz") == 0
     assert S.ratio("apex technology solutions", "apex technlogy solutns") > 0.85
     assert S.ratio("abcd", "bcde") == pytest.approx(2 * sum(b.size for b in difflib.SequenceMatcher(None, "abcd", "bcde").get_matching_blocks()) / 8)
+
+
+MANY = ((S.ratios, S.ratio), (S.partial_ratios, S.partial_ratio), (S.token_sort_ratios, S.token_sort_ratio), (S.token_set_ratios, S.token_set_ratio), (S.jaro_winklers, S.jaro_winkler))
+
+
+@pytest.mark.parametrize("few", [1, S.FEW])
+def test_many_pairs_at_once_equal_one_by_one(monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
+    rng = random.Random(2)
+    bag = ["".join(rng.choice("abcdeé漢😀\ud800") for _ in range(rng.randint(1, 7))) for _ in range(30)]
+    string = lambda most: " ".join(rng.choice(bag) for _ in range(rng.randint(0, most)))
+    pairs = [(string(n), string(n)) for n, times in ((1, 150), (4, 150), (12, 150), (16, 150), (40, 20), (150, 6)) for _ in range(times)]
+    # either end of a word of 64, of the words together, and of what is taken one by one
+    edge = ["x" * 64, "x" * 65, "xy" * 32, "ab" * 32 + "c", "z" * 128, "yz" * 64 + "q", "ab" * 256, "ba" * 256 + "k", "k" * 513, "abk" * 1400]
+    pairs += [(a, b) for a in edge for b in edge] + [("", ""), ("", "a"), ("a", "")]
+    for many, one in MANY:
+        assert many(pairs).tolist() == [one(a, b) for a, b in pairs], one.__name__
+        assert len(many([])) == 0
+
+
+def test_long_common_subsequence_equals_plain_one():
+    rng = random.Random(3)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (700, 900))
+    assert S.lcs(a, b) == plain_lcs(a, b) == S.lcs_many([(a, b)] * S.FEW)[-1]
+
+
+def test_column_values():
+    pairs = [(None, None), ("", ""), (None, "a"), ("a", "a"), ("a b", "b a")]
+    got = S._of_column([a for a, _ in pairs], [b for _, b in pairs], (S.ratios, S.token_sort_ratios))
+    assert got.tolist() == [[0, 0], [0, 0], [0, 0], [1, 1], [pytest.approx(1 / 3), 1]]
