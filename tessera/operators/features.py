@@ -25,30 +25,42 @@ NAMES = (
 SIDE = ("country", "name_conservative", "name_normalized", "name_corporate_suffix", "name_tokens", "addr_is_empty", "addr_conservative", "addr_normalized", "addr_tokens")
 
 
+#: What a pair needs of one record's tokens, made once a record and not once a pair.
+DERIVED = {
+    "name_set": lambda c: F.array_distinct(c("name_tokens")),
+    "name_sorted": lambda c: F.array_join(F.sort_array(c("name_tokens")), " "),
+    "addr_set": lambda c: F.array_distinct(c("addr_tokens")),
+    "addr_numbers": lambda c: F.array_distinct(F.filter(c("addr_tokens"), K.is_number)),
+}
+
+
 def _num(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.greatest(F.size(F.array_union(a, b)), F.lit(1))).otherwise(0.0)
+def _jaccard(a: Column, b: Column, both: Column) -> Column:
+    """Of two sets that share so many."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
 
 
-def _shared(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)).cast("double")
+def shared(pairs: DataFrame) -> DataFrame:
+    """pairs with what DERIVED names, where it is not there yet, and how much of each set both records share."""
+    made = {f"{p}_{name}": of(lambda c, p=p: F.col(f"{p}_{c}")) for p in ("a", "b") for name, of in DERIVED.items()}
+    pairs = pairs.withColumns({name: made[name] for name in made if name not in pairs.columns})
+    return pairs.withColumns({f"a_shared_{x}": F.size(F.array_intersect(f"a_{x}", f"b_{x}")) for x in ("name_set", "addr_set", "addr_numbers")})
 
 
 def plain_features(pairs: DataFrame) -> dict[str, Column]:
-    """The features that need no string similarity, from columns a_* (source 1) and b_* (candidate)."""
+    """The features that need no string similarity, from columns a_* (source 1) and b_* (candidate) of shared()."""
     a, b = (lambda x: F.col(f"a_{x}")), (lambda x: F.col(f"b_{x}"))
-    na, nb, ta, tb = a("name_normalized"), b("name_normalized"), a("name_tokens"), b("name_tokens")
+    na, nb, ta, tb = a("name_normalized"), b("name_normalized"), a("name_set"), b("name_set")
     la, lb = F.length(na), F.length(nb)
     ca, cb = F.replace(na, F.lit(" "), F.lit("")), F.replace(nb, F.lit(" "), F.lit(""))
     sa, sb = F.trim(a("name_corporate_suffix")), F.trim(b("name_corporate_suffix"))
     ea, eb = a("addr_is_empty") | (F.trim(a("addr_normalized")) == ""), b("addr_is_empty") | (F.trim(b("addr_normalized")) == "")
     there = ~ea & ~eb
-    xa, xb = a("addr_tokens"), b("addr_tokens")
-    da, db = F.filter(xa, K.is_number), F.filter(xb, K.is_number)
+    both = lambda x: F.col(f"a_shared_{x}")
+    jaccard = lambda x: _jaccard(a(x), b(x), both(x))
 
     def prefix(n: int) -> Column:
         return _num((F.length(ca) >= n) & (F.length(cb) >= n) & (F.substring(ca, 1, n) == F.substring(cb, 1, n)))
@@ -61,9 +73,9 @@ def plain_features(pairs: DataFrame) -> dict[str, Column]:
         "name_exact_cons": _num((a("name_conservative") != "") & (a("name_conservative") == b("name_conservative"))),
         "name_len_diff": F.abs(la - lb).cast("double"),
         "name_len_ratio": F.when(F.greatest(la, lb) == 0, 1.0).otherwise(F.least(la, lb) / F.greatest(la, lb, F.lit(1))),
-        "name_shared_tokens_count": _shared(ta, tb),
-        "name_token_jaccard": _jaccard(ta, tb),
-        "name_sorted_token_equal": _num((F.size(ta) > 0) & (F.size(tb) > 0) & (F.array_sort(ta) == F.array_sort(tb))),
+        "name_shared_tokens_count": both("name_set").cast("double"),
+        "name_token_jaccard": jaccard("name_set"),
+        "name_sorted_token_equal": _num((F.size(ta) > 0) & (F.size(tb) > 0) & (a("name_sorted") == b("name_sorted"))),
         "name_prefix_equal_4": prefix(4),
         "name_prefix_equal_6": prefix(6),
         "suffix_both_present": _num((sa != "") & (sb != "")),
@@ -72,10 +84,10 @@ def plain_features(pairs: DataFrame) -> dict[str, Column]:
         "suffix_either_missing": _num((sa == "") | (sb == "")),
         "addr_exact_norm": _num(there & (a("addr_normalized") == b("addr_normalized"))),
         "addr_exact_cons": _num(there & (a("addr_conservative") == b("addr_conservative"))),
-        "addr_token_jaccard": if_there(_jaccard(xa, xb)),
-        "addr_shared_tokens_count": if_there(_shared(xa, xb)),
-        "addr_numeric_shared_count": if_there(_shared(da, db)),
-        "addr_numeric_jaccard": if_there(_jaccard(da, db)),
+        "addr_token_jaccard": if_there(jaccard("addr_set")),
+        "addr_shared_tokens_count": if_there(both("addr_set").cast("double")),
+        "addr_numeric_shared_count": if_there(both("addr_numbers").cast("double")),
+        "addr_numeric_jaccard": if_there(jaccard("addr_numbers")),
         "addr_len_diff": if_there(F.abs(F.length(a("addr_normalized")) - F.length(b("addr_normalized"))).cast("double")),
         "addr_s1_empty": _num(ea), "addr_cand_empty": _num(eb), "addr_either_empty": _num(ea | eb), "addr_both_empty": _num(ea & eb),
         "country_match": _num((a("country") != "") & (a("country") == b("country"))),
@@ -98,7 +110,7 @@ def provenance(methods: Column, score: Column) -> dict[str, Column]:
 
 def paired(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """pairs (s1_id, cand_id, ...) with both records as a_* and b_*; pairs without a record are dropped."""
-    side = lambda df, p, key: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in SIDE])
+    side = lambda df, p, key: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in SIDE], *[of(F.col).alias(f"{p}_{name}") for name, of in DERIVED.items()])
     return pairs.join(side(queries, "a", "s1_id"), "s1_id").join(side(targets, "b", "cand_id"), "cand_id")
 
 
@@ -110,6 +122,7 @@ def features(pairs: DataFrame, similarities: bool = True) -> DataFrame:
     keep = [c for c in pairs.columns if not c.startswith(("a_", "b_"))]
     methods = F.col("methods") if "methods" in keep else F.lit(None).cast("array<string>")
     score = F.col("score") if "score" in keep else F.lit(0)
+    pairs = shared(pairs)
     df = pairs.withColumns(plain_features(pairs))
     there = F.col("addr_either_empty") == 0
     if similarities:
