@@ -151,9 +151,11 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
 # --------------------------------------------------------------------------- many pairs at once
 
 #: Letters of the shorter string, in words of 64, and of the longer one, up to which pairs take their steps together.
-WORDS, LETTERS = 8, 4096
+WORDS, LETTERS = 4, 1024
 #: Pairs that take their steps together: at most so many, and at least so many to be worth it.
-LANES, FEW = 2048, 64
+LANES, FEW = 2048, 128
+#: Different letters up to which their places are tabled.
+ALPHABET = 128
 _ONES = np.uint64((1 << 64) - 1)
 
 
@@ -187,18 +189,22 @@ def _lanes(a: Sequence[str], b: Sequence[str], words: int) -> np.ndarray:
     held = _letters(a, 64 * words, 0xFFFFFFFF)  # neither filling is a code point, and they differ
     passed = np.ascontiguousarray(_letters(b, max(map(len, b)), 0xFFFFFFFE).T)
     row = np.full((words, len(a)), _ONES)
-    for c in passed:
-        masks, carry = _row_masks(held, c), None
-        for w in range(words):
-            old = row[w]
-            u = masks[:, w] & old
-            total = old + u
-            over = total < u
-            if carry is not None:
-                total += carry
-                over |= total < carry
-            row[w] = total | (old ^ u)
-            carry = over.astype(np.uint64)
+    letters, number = np.unique(passed, return_inverse=True)
+    number = number.reshape(passed.shape)
+    known = len(letters) <= min(len(passed), ALPHABET)  # the places of every letter are looked up once, or else those of each step
+    if known:
+        table = np.stack([_row_masks(held, np.full(len(a), c, np.uint32)).T for c in letters])
+        lane = np.arange(len(a))
+    for c, n in zip(passed, number, strict=True):
+        u = table[n, :, lane].T & row if known else _row_masks(held, c).T & row
+        total = row + u
+        over = total < u
+        while words > 1 and over[:-1].any():  # carries go on to the next word
+            carry = over[:-1].astype(np.uint64)
+            total[1:] += carry
+            over[1:] = total[1:] < carry
+            over[0] = False
+        row = total | (row ^ u)
     return np.bitwise_count(~row).sum(axis=0, dtype=np.int64)
 
 

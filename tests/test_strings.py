@@ -53,7 +53,7 @@ def test_many_pairs_at_once_equal_one_by_one(monkeypatch, few):
     string = lambda most: " ".join(rng.choice(bag) for _ in range(rng.randint(0, most)))
     pairs = [(string(n), string(n)) for n, times in ((1, 150), (4, 150), (12, 150), (16, 150), (40, 20), (150, 6)) for _ in range(times)]
     # either end of a word of 64, of the words together, and of what is taken one by one
-    edge = ["x" * 64, "x" * 65, "xy" * 32, "ab" * 32 + "c", "z" * 128, "yz" * 64 + "q", "ab" * 256, "ba" * 256 + "k", "k" * 513, "abk" * 1400]
+    edge = ["x" * 64, "x" * 65, "xy" * 32, "ab" * 32 + "c", "z" * 128, "yz" * 64 + "q", "ab" * 128, "ba" * 128 + "k", "k" * 257, "abk" * 1400]
     pairs += [(a, b) for a in edge for b in edge] + [("", ""), ("", "a"), ("a", "")]
     for many, one in MANY:
         assert many(pairs).tolist() == [one(a, b) for a, b in pairs], one.__name__
