@@ -156,16 +156,19 @@ def ordered(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame,
 
 
 def _search(edges: list[int]) -> F.Column:
-    """How many edges are at least doc_id, by binary search: part 0 has the largest ids."""
+    """How many edges are at least doc_id, by binary search: part 0 has the largest ids.
+
+    The steps are an array that is folded over: an expression that names its own last step several
+    times grows fourfold with each of them, which for hundreds of edges no driver holds.
+    """
     if not edges:
         return F.lit(0)
-    at, step = F.lit(0), 1 << (len(edges).bit_length() - 1)
-    array = F.lit(edges)
-    while step:  # at: edges known to be below doc_id
-        nxt = at + step
-        at = F.when((nxt <= len(edges)) & (F.element_at(array, F.least(nxt, F.lit(len(edges)))) < F.col("doc_id")), nxt).otherwise(at)
-        step //= 2
-    return F.lit(len(edges)) - at
+    numbers = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")  # noqa: E731  a constant, made in one call
+    array = numbers(edges, "bigint")
+    steps = numbers([1 << k for k in reversed(range(len(edges).bit_length()))], "int")
+    # at: edges known to be below doc_id; there is no edge beyond the last
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+    return F.lit(len(edges)) - below
 
 
 def pairs(docs: DataFrame, fn, schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 
 from hypothesis import given
@@ -67,3 +68,11 @@ def test_likeness_follows_similarity():
     assert H.likeness(f(a), f(near)) > 0.75 > H.likeness(f(a), f(half)) > 0.15
     assert H.likeness(f(a), f(other)) < 0.1
     assert H.likeness(f(""), f("")) == 1.0 and H.likeness(f(""), f(a)) == 0.0
+
+
+def test_the_search_among_edges_is_small_however_many_there_are(spark):
+    for n in (1, 2, 7, 449, 10_000):
+        edges = [3 * k for k in range(n)]
+        ids = [-5, 0, 1, 3 * n // 2, 3 * n - 3, 3 * n - 2, 3 * n + 9, None]
+        got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", H._search(edges).alias("part"))
+        assert {r.doc_id: r.part for r in got.collect()} == {i: n if i is None else n - bisect.bisect_left(edges, i) for i in ids}
