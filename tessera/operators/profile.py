@@ -57,14 +57,21 @@ def length_statistics(records: DataFrame) -> DataFrame:
     words = lambda v: F.size(F.split(v, f"{SPACE}+"))
     kinds = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(u).alias("unit"), (F.length(v) if u == "chars" else words(v)).alias("len"), (v != "").alias("there")) for f, v in (("name", name), ("address", address)) for u in ("chars", "words")])
     counted = records.select(F.explode(kinds).alias("k")).where("k.there").groupBy("k.field", "k.unit", "k.len").agg(F.count("*").alias("k"))
+    return length_summary(counted)
+
+
+def length_summary(counted: DataFrame) -> DataFrame:
+    """The statistics of (field, unit, len, k): k values of a length.  Sums of squares are exact decimals, since their product with n is beyond whole numbers of 64 bits at some 1 GB of texts."""
     upto = Window.partitionBy("field", "unit").orderBy("len").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("field", "unit")
     at = counted.withColumn("cum", F.sum("k").over(upto)).withColumn("total", F.sum("k").over(whole))
     p = lambda q: F.min(F.when(F.col("cum") >= q * F.col("total"), F.col("len")))
-    n, s, s2 = F.sum("k"), F.sum(F.col("len") * F.col("k")), F.sum(F.col("len").cast("long") * F.col("len") * F.col("k"))
-    mean = s / n
+    whole_number = lambda c: F.col(c).cast("decimal(38,0)")
+    n, s, s2 = F.sum("k"), F.sum(F.col("len") * F.col("k")), F.sum(whole_number("len") * whole_number("len") * whole_number("k"))
+    exact_n, exact_s = (x.cast("decimal(38,0)") for x in (n, s))
+    mean, variance = s / n, (s2 * exact_n - exact_s * exact_s).cast("double") / (n.cast("double") * n)
     return at.groupBy("field", "unit").agg(
-        n.alias("n"), F.min("len").alias("least"), F.max("len").alias("most"), F.round(mean, 2).alias("mean"), F.round(F.sqrt(F.greatest((s2 * n - s * s) / (n * n), F.lit(0.0))), 2).alias("std"), p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75")
+        n.alias("n"), F.min("len").alias("least"), F.max("len").alias("most"), F.round(mean, 2).alias("mean"), F.round(F.sqrt(F.greatest(variance, F.lit(0.0))), 2).alias("std"), p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75")
     )
 
 
