@@ -127,7 +127,8 @@ def features(pairs: DataFrame, similarities: bool = True) -> DataFrame:
     there = F.col("addr_either_empty") == 0
     if similarities:
         blank = lambda p: F.when(there, F.col(f"{p}_addr_normalized")).otherwise("")
-        df = df.withColumn("_s", S.metrics(F.col("a_name_normalized"), F.col("b_name_normalized"), blank("a"), blank("b"))).select("*", *[F.col(f"_s.{f}").alias(f) for f in S.FIELDS])
+        df = df.withColumns({"_a": blank("a"), "_b": blank("b")})
+        df = df.withColumns(S.metrics(F.col("a_name_normalized"), F.col("b_name_normalized"), F.col("_a"), F.col("_b")))
         high = F.col("name_token_set_ratio")
         df = df.withColumns({
             "name_addr_high_agreement": _num(there & (high >= 0.80) & (F.col("addr_token_set_ratio") >= 0.80)),

@@ -78,8 +78,9 @@ class Data:
         return L.labelled(kept, self.truths).withColumn("prob", F.least(F.lit(1.0), F.col("score") / 150.0)).join(self.countries, "s1_id")
 
     def two(self) -> DataFrame:
-        """Capped pairs with both records."""
-        return X.paired(self.scored().select("s1_id", "cand_id", "methods", "score"), self.queries, self.targets())
+        """Capped pairs with both records; no label is made."""
+        kept = B.ranked(self.pairs(), 50).join(self.countries, "s1_id")
+        return X.paired(kept.select("s1_id", "cand_id", "methods", "score"), self.queries, self.targets())
 
 
 def _candidates(d: Data) -> DataFrame:

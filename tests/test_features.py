@@ -58,3 +58,16 @@ def test_vectors(spark, feats):
     pairs = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, cand_id string")
     (r,) = X.vectors(X.features(X.paired(pairs, pre, pre))).collect()
     assert len(r.features) == 45
+
+
+def test_a_similarity_of_names_takes_no_address_to_python(spark):
+    pre = T.preprocess(spark.createDataFrame([BASE, ("S2-1", "Apex Technlogy", "9 Elm Way", "US")], SCHEMA))
+    pairs = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, cand_id string")
+    all_of = X.features(X.paired(pairs, pre, pre))
+    python = lambda df: [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "similarity(" in x and "EvalPython" in x]
+    (node,) = python(all_of.select("name_fuzz_ratio"))
+    assert node.count("similarity(") == 1 and "addr" not in node
+    (node,) = python(all_of)
+    assert node.count("similarity(") == 8
+    (r,) = all_of.collect()
+    assert all_of.select("name_fuzz_ratio").first()[0] == r["name_fuzz_ratio"]
