@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..sources.tables import saved
 from . import keys as K
 
 NAMES = (
@@ -22,15 +23,32 @@ NAMES = (
     "prov_name_token", "prov_addr_token", "prov_prefix_6gram", "prov_num_passes", "prov_blocking_score",
 )
 
-SIDE = ("country", "name_conservative", "name_normalized", "name_corporate_suffix", "name_tokens", "addr_is_empty", "addr_conservative", "addr_normalized", "addr_tokens")
+SIDE = ("country", "name_conservative", "name_normalized", "name_corporate_suffix", "addr_normalized")
 
+#: A pair's rows in one round, for each record that there is: what a round shuffles is in proportion to the records.
+PAIRS_A_RECORD = 2
 
-#: What a pair needs of one record's tokens, made once a record and not once a pair.
+
+def _digest(text: Column) -> Column:
+    """32 bytes in place of a text that is only asked to be equal to another."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def _words(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
+#: What a pair needs of one record, made once a record and not once a pair.  A whole address goes along only where a
+#: similarity is asked for: else its distinct words, as one text (tokens hold no blank), its length and two digests.
 DERIVED = {
     "name_set": lambda c: F.array_distinct(c("name_tokens")),
     "name_sorted": lambda c: F.array_join(F.sort_array(c("name_tokens")), " "),
-    "addr_set": lambda c: F.array_distinct(c("addr_tokens")),
-    "addr_numbers": lambda c: F.array_distinct(F.filter(c("addr_tokens"), K.is_number)),
+    "addr_blank": lambda c: c("addr_is_empty") | (F.trim(c("addr_normalized")) == ""),
+    "addr_length": lambda c: F.length(c("addr_normalized")),
+    "addr_normalized_is": lambda c: _digest(c("addr_normalized")),
+    "addr_conservative_is": lambda c: _digest(c("addr_conservative")),
+    "addr_words": lambda c: F.array_join(F.array_distinct(c("addr_tokens")), " "),
+    "addr_figures": lambda c: F.array_join(F.array_distinct(F.filter(c("addr_tokens"), K.is_number)), " "),
 }
 
 
@@ -44,10 +62,9 @@ def _jaccard(a: Column, b: Column, both: Column) -> Column:
 
 
 def shared(pairs: DataFrame) -> DataFrame:
-    """pairs with what DERIVED names, where it is not there yet, and how much of each set both records share."""
-    made = {f"{p}_{name}": of(lambda c, p=p: F.col(f"{p}_{c}")) for p in ("a", "b") for name, of in DERIVED.items()}
-    pairs = pairs.withColumns({name: made[name] for name in made if name not in pairs.columns})
-    return pairs.withColumns({f"a_shared_{x}": F.size(F.array_intersect(f"a_{x}", f"b_{x}")) for x in ("name_set", "addr_set", "addr_numbers")})
+    """pairs with the sets of words of both records, and how much of each set both share."""
+    sets = {f"{p}_{name}": _words(F.col(f"{p}_{of}")) for p in ("a", "b") for name, of in (("addr_set", "addr_words"), ("addr_numbers", "addr_figures"))}
+    return pairs.withColumns(sets).withColumns({f"a_shared_{x}": F.size(F.array_intersect(f"a_{x}", f"b_{x}")) for x in ("name_set", "addr_set", "addr_numbers")})
 
 
 def plain_features(pairs: DataFrame) -> dict[str, Column]:
@@ -57,7 +74,7 @@ def plain_features(pairs: DataFrame) -> dict[str, Column]:
     la, lb = F.length(na), F.length(nb)
     ca, cb = F.replace(na, F.lit(" "), F.lit("")), F.replace(nb, F.lit(" "), F.lit(""))
     sa, sb = F.trim(a("name_corporate_suffix")), F.trim(b("name_corporate_suffix"))
-    ea, eb = a("addr_is_empty") | (F.trim(a("addr_normalized")) == ""), b("addr_is_empty") | (F.trim(b("addr_normalized")) == "")
+    ea, eb = a("addr_blank"), b("addr_blank")
     there = ~ea & ~eb
     both = lambda x: F.col(f"a_shared_{x}")
     jaccard = lambda x: _jaccard(a(x), b(x), both(x))
@@ -82,13 +99,13 @@ def plain_features(pairs: DataFrame) -> dict[str, Column]:
         "suffix_exact_match": _num((sa != "") & (sa == sb)),
         "suffix_mismatch": _num((sa != "") & (sb != "") & (sa != sb)),
         "suffix_either_missing": _num((sa == "") | (sb == "")),
-        "addr_exact_norm": _num(there & (a("addr_normalized") == b("addr_normalized"))),
-        "addr_exact_cons": _num(there & (a("addr_conservative") == b("addr_conservative"))),
+        "addr_exact_norm": _num(there & (a("addr_normalized_is") == b("addr_normalized_is"))),
+        "addr_exact_cons": _num(there & (a("addr_conservative_is") == b("addr_conservative_is"))),
         "addr_token_jaccard": if_there(jaccard("addr_set")),
         "addr_shared_tokens_count": if_there(both("addr_set").cast("double")),
         "addr_numeric_shared_count": if_there(both("addr_numbers").cast("double")),
         "addr_numeric_jaccard": if_there(jaccard("addr_numbers")),
-        "addr_len_diff": if_there(F.abs(F.length(a("addr_normalized")) - F.length(b("addr_normalized"))).cast("double")),
+        "addr_len_diff": if_there(F.abs(a("addr_length") - b("addr_length")).cast("double")),
         "addr_s1_empty": _num(ea), "addr_cand_empty": _num(eb), "addr_either_empty": _num(ea | eb), "addr_both_empty": _num(ea & eb),
         "country_match": _num((a("country") != "") & (a("country") == b("country"))),
     }
@@ -108,12 +125,35 @@ def provenance(methods: Column, score: Column) -> dict[str, Column]:
     return out
 
 
+def sides(records: DataFrame) -> DataFrame:
+    """entity_id and what a pair needs of a record."""
+    return records.select("entity_id", *SIDE, *[of(F.col).alias(name) for name, of in DERIVED.items()])
+
+
 def paired(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """pairs (s1_id, cand_id, ...) with both records as a_* and b_*; pairs without a record are dropped."""
-    side = lambda df, p, key: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in SIDE], *[of(F.col).alias(f"{p}_{name}") for name, of in DERIVED.items()])
+    return _with_sides(pairs, sides(queries), sides(targets))
+
+
+def _with_sides(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    side = lambda df, p, key: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in (*SIDE, *DERIVED)])
     return pairs.join(side(queries, "a", "s1_id"), "s1_id").join(side(targets, "b", "cand_id"), "cand_id")
 
 
+def features_in_rounds(pairs: DataFrame, queries: DataFrame, targets: DataFrame, similarities: bool = True) -> DataFrame:
+    """features(paired(...)) from files, made in rounds over the pairs.
+
+    A record's texts go along with each of its pairs, so that one join of all pairs would shuffle every
+    record as often as it has pairs.  Each round takes the pairs of some source-1 records and removes
+    what it shuffled before the next; there are as many rounds as keep that in proportion to the records.
+    """
+    slim = lambda df: saved(sides(df) if similarities else sides(df).withColumn("addr_normalized", F.lit("")))
+    kept, a, b = saved(pairs), slim(queries), slim(targets)
+    rounds = max(1, -(-kept.count() // max(1, PAIRS_A_RECORD * (a.count() + b.count()))))
+    of = lambda df, key, k: df.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == k)
+    return saved(*[features(_with_sides(of(kept, "s1_id", k), of(a, "entity_id", k), b), similarities) for k in range(rounds)])
+
+
 def features(pairs: DataFrame, similarities: bool = True) -> DataFrame:
     """Rows of paired() with the features; methods and score are the metadata, if those columns exist.
 

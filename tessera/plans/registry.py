@@ -77,10 +77,17 @@ class Data:
         kept = B.ranked(self.pairs(), 50).drop("rn")
         return L.labelled(kept, self.truths).withColumn("prob", F.least(F.lit(1.0), F.col("score") / 150.0)).join(self.countries, "s1_id")
 
+    def capped(self) -> DataFrame:
+        """Capped pairs; no label is made."""
+        return B.ranked(self.pairs(), 50).join(self.countries, "s1_id").select("s1_id", "cand_id", "methods", "score")
+
     def two(self) -> DataFrame:
-        """Capped pairs with both records; no label is made."""
-        kept = B.ranked(self.pairs(), 50).join(self.countries, "s1_id")
-        return X.paired(kept.select("s1_id", "cand_id", "methods", "score"), self.queries, self.targets())
+        """Capped pairs with both records, for queries that ask for little of them."""
+        return X.paired(self.capped(), self.queries, self.targets())
+
+    def featured(self, similarities: bool = True) -> DataFrame:
+        """Capped pairs with all features."""
+        return X.features_in_rounds(self.capped(), self.queries, self.targets(), similarities)
 
 
 def _candidates(d: Data) -> DataFrame:
@@ -235,7 +242,7 @@ def _entries() -> dict[str, tuple[Callable[[Data], DataFrame], str | None]]:
             lambda d: L.subsample_negatives(d.scored(), 2).select("s1_id", "cand_id", "label"),
             c("scored", "SELECT s1_id, cand_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(s1_id || cand_id || '42'), s1_id, cand_id) AS k FROM scored) WHERE label = 1 OR k <= 2 * (SELECT count(*) FROM scored WHERE label = 1)"),
         ),
-        "l8_matrix": (lambda d: X.features(d.two()).drop("methods"), None),
+        "l8_matrix": (lambda d: d.featured().drop("methods"), None),
         "l9_countries": (lambda d: L.of_countries(d.src, ("US", "India")).groupBy("country").agg(F.count("*").alias("n")), s("SELECT country, count(*) AS n FROM src WHERE country IN ('US', 'India') GROUP BY country")),
         # evaluation
         "a1_recall": (lambda d: A.recall(d.truths, d.pairs()), c("truths", f"SELECT cap, {_RECALL} FROM found, (VALUES (50)) k(cap) GROUP BY cap")),
@@ -275,7 +282,7 @@ sranked AS (SELECT *, row_number() OVER (PARTITION BY step, s1_id ORDER BY score
         "a11_average_precision": (lambda d: A.average_precision(d.scored()), c("scored", "SELECT sum(p * tp / seen) / sum(p) AS average_precision FROM (SELECT p, (sum(p) OVER (ORDER BY prob DESC))::DOUBLE AS tp, (sum(n) OVER (ORDER BY prob DESC))::DOUBLE AS seen FROM (SELECT prob, count(*) FILTER (WHERE label = 1) AS p, count(*) AS n FROM scored GROUP BY prob))")),
         "a12_breakdown": (lambda d: A.confusion(d.scored(), 0.6, ["country"]), c("scored", _METRICS.format(f"SELECT country, {_CONFUSION} FROM (SELECT country, prob >= 0.6 AS h, label = 1 AS y FROM scored) GROUP BY country"))),
         # features
-        "f1_features": (lambda d: X.features(d.two(), similarities=False).drop("methods", "score"), c("feats", Q.feature_select())),
+        "f1_features": (lambda d: d.featured(similarities=False).drop("methods", "score"), c("feats", Q.feature_select())),
         "f7_jaro_winkler": (lambda d: X.features(d.two()).select("s1_id", "cand_id", F.round("name_jaro_winkler", 9).alias("jw")), None),
         "f3_indel": (lambda d: X.features(d.two()).select("s1_id", "cand_id", F.round("name_fuzz_ratio", 9).alias("indel")), None),
         # models

@@ -71,3 +71,28 @@ def test_a_similarity_of_names_takes_no_address_to_python(spark):
     assert node.count("similarity(") == 8
     (r,) = all_of.collect()
     assert all_of.select("name_fuzz_ratio").first()[0] == r["name_fuzz_ratio"]
+
+
+def test_rounds_give_what_one_join_gives(spark, monkeypatch):
+    names = ["Apex Tech Inc", "Apex Technology", "Blue Sky 12", "Blue Skies", "Café Noir"]
+    rows = [(f"{s}-{k}", n, a, "US") for s in ("S1", "S2") for k, (n, a) in enumerate(zip(names, ["1 Main St 4 4", "1 Main St", "", "Oak 7 7 oak", "rue 9"], strict=True))]
+    pre = T.preprocess(spark.createDataFrame(rows, SCHEMA))
+    queries, targets = pre.where("entity_id LIKE 'S1%'"), pre.where("entity_id LIKE 'S2%'")
+    pairs = spark.createDataFrame([(f"S1-{a}", f"S2-{b}", ["name_token"], 12) for a in range(5) for b in range(5)] + [("S1-1", "none", ["name_token"], 12)], "s1_id string, cand_id string, methods array<string>, score long")
+    written = []
+    write = X.saved
+    monkeypatch.setattr(X, "saved", lambda *parts: written.append(len(parts)) or write(*parts))
+    monkeypatch.setattr(X, "PAIRS_A_RECORD", 1)
+    for similarities in (True, False):
+        whole = X.features(X.paired(pairs, queries, targets), similarities)
+        made = X.features_in_rounds(pairs, queries, targets, similarities)
+        assert made.columns == whole.columns and written[-1] == 3
+        assert sorted(map(str, made.collect())) == sorted(map(str, whole.collect())) and made.count() == 25
+
+
+def test_no_whole_address_goes_along_without_similarities(spark):
+    pre = T.preprocess(spark.createDataFrame([BASE, ("S2-1", *BASE[1:])], SCHEMA))
+    pairs = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, cand_id string")
+    plan = X.features(X.paired(pairs, pre, pre), similarities=False)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "a_addr_normalized#" in x or "b_addr_normalized#" in x]
+    assert not joins and "a_addr_words#" in plan
