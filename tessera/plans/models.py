@@ -24,19 +24,20 @@ SEED = 42
 ROWS_A_TASK = 20_000
 
 
-def dataset(d, ratio: int | None = 10) -> DataFrame:
+def dataset(d, ratio: int | None = 10, held: bool = True) -> DataFrame:
     """Labelled pairs with features and is_train: whole source-1 records on one side, negatives thinned on the training side.
 
     What several counts and joins read is cut from its plan: the capped pairs, and the features, which
-    a fit reads once for each of its iterations (the records are files already).
+    a fit reads once for each of its iterations (the records are files already).  Without held the
+    held-out pairs, which are not thinned, are left out before their features are made.
     """
     queries, targets, truths = d.queries, d.targets(), d.truths
     kept = cut(B.ranked(B.merged(B.hits(queries, targets)), 50).drop("rn").withColumn("raw_candidate_count", F.lit(0).cast("long")))
     pairs = L.labelled(kept, truths).unionByName(L.recovered(kept, truths, targets))
     split = L.group_split(queries.select(F.col("entity_id").alias("s1_id")))
     both = cut(pairs.join(split, "s1_id"))
-    thinned = cut(L.subsample_negatives(both.where("is_train"), ratio).unionByName(both.where("NOT is_train")))
-    return cut(X.features(X.paired(thinned, queries, targets)))
+    thinned = L.subsample_negatives(both.where("is_train"), ratio)
+    return X.features_in_rounds(thinned.unionByName(both.where("NOT is_train")) if held else thinned, queries, targets)
 
 
 def weighted(df: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def evaluate(model: PipelineModel, held: DataFrame) -> DataFrame:
 
 def coefficients(d, n: int = 15) -> DataFrame:
     """(feature, coefficient) of the logistic model, the n largest by size."""
-    model = fit(dataset(d).where("is_train"), "logistic")
+    model = fit(dataset(d, held=False), "logistic")
     rows = list(zip(X.NAMES, map(float, model.stages[-1].coefficients), strict=True))
     return d.spark.createDataFrame(rows, "feature string, coefficient double").orderBy(F.desc(F.abs("coefficient")), "feature").limit(n)
 
