@@ -26,6 +26,10 @@ from . import models as M
 from . import sql as Q
 
 
+def _with_tokens(kept: DataFrame) -> DataFrame:
+    return kept.withColumns({f"{x}_tokens": T.words_of_normalized(F.col(f"{x}_normalized")) for x in ("name", "addr")})
+
+
 class Data:
     """The relations that queries start from, each made once for a query."""
 
@@ -48,8 +52,7 @@ class Data:
     @functools.cached_property
     def records(self) -> DataFrame:
         """The same from files, for queries that read them as both sides of a join; raw values are not kept, and tokens are split again when read."""
-        kept = tables.saved(self.pre.drop("name_raw", "addr_raw", "name_tokens", "addr_tokens"))
-        return kept.withColumns({f"{x}_tokens": T.words_of(F.col(f"{x}_normalized")) for x in ("name", "addr")})
+        return _with_tokens(tables.saved(self.pre.drop("name_raw", "addr_raw", "name_tokens", "addr_tokens")))
 
     @property
     def queries(self) -> DataFrame:
@@ -79,10 +82,12 @@ class Data:
 
     def capped(self) -> DataFrame:
         """Capped pairs; no label is made."""
-        return B.ranked(self.pairs(), 50).join(self.countries, "s1_id").select("s1_id", "cand_id", "methods", "score")
+        kept = B.ranked(B.merged(self.hits(), named=False), 50).join(self.countries, "s1_id")
+        return kept.select("s1_id", "cand_id", B.passes_of("mask").alias("methods"), "score")
 
     def two(self) -> DataFrame:
-        """Capped pairs with both records, for queries that ask for little of them."""
+        """Capped pairs with both records, for queries that ask for names alone: addresses are kept for their keys, and only there."""
+        self.records = _with_tokens(tables.saved(T.for_keys(self.src).drop("name_tokens", "addr_tokens"))).withColumn("addr_conservative", F.lit(""))
         return X.paired(self.capped(), self.queries, self.targets())
 
     def featured(self, similarities: bool = True) -> DataFrame:

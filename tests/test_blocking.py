@@ -84,3 +84,29 @@ def test_sorted_names_are_cut_and_not_dropped(spark):
     kept = K.first_of_sorted(keys, limits).where(F.col("pass") == K.SORTED)
     assert sorted(r.entity_id for r in kept.collect()) == ["S2-0", "S2-1", "S2-2", "S2-3"]
     assert K.document_frequencies(keys, limits).where(F.col("pass") == K.SORTED).first().df == 4
+
+
+def test_a_filter_of_keys_loses_no_wanted_row(spark):
+    keys = spark.range(4000).selectExpr(f"'{K.NAME}' AS pass", "if(id % 2 = 0, 'US', 'India') AS country", "concat('k', id) AS key", "id")
+    rows, wanted = keys.unionByName(keys), keys.where("id % 100 = 7").drop("id")
+    left = K.likely(rows, wanted)
+    assert left.columns == rows.columns and left.join(wanted, list(K.KEY), "left_semi").count() == 80
+    assert left.count() < 2000
+    assert K.likely(rows, wanted.limit(0)).count() == 0
+    assert sorted(r.id for r in K.joined(rows, wanted).collect()) == sorted(2 * list(range(7, 4000, 100)))
+
+
+def test_no_address_goes_along_with_keys_of_names(spark):
+    pre = T.preprocess(spark.createDataFrame(TARGETS, SCHEMA))
+    for keys in (K.target_keys(pre), B.probe_keys(pre)):
+        plan = keys._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        families = [x for x in plan if "Generate" in x and "name_token" in x]
+        assert families and not any("addr_tokens" in x or K.ADDRESS in x for x in families)
+
+
+def test_ranks_by_bits_are_those_by_names(spark):
+    rows = [("a", f"c{k}{n}", p, 10) for k, passes in enumerate([(p,) for p in K.PASSES] + [(p, q) for p in K.PASSES for q in K.PASSES if p < q]) for p in passes for n in range(2)]
+    hits = spark.createDataFrame(rows, "s1_id string, cand_id string, pass string, score long")
+    named, bits = B.ranked(B.merged(hits)), B.ranked(B.merged(hits, named=False))
+    got = bits.select("s1_id", "cand_id", "score", B.passes_of("mask").alias("methods"), "rn")
+    assert sorted(map(str, got.collect())) == sorted(map(str, named.collect())) and got.count() == 56

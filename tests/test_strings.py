@@ -70,3 +70,14 @@ def test_column_values():
     pairs = [(None, None), ("", ""), (None, "a"), ("a", "a"), ("a b", "b a")]
     got = S._of_column([a for a, _ in pairs], [b for _, b in pairs], (S.ratios, S.token_sort_ratios))
     assert got.tolist() == [[0, 0], [0, 0], [0, 0], [1, 1], [pytest.approx(1 / 3), 1]]
+
+
+def test_names_take_their_jaro_steps_at_once(monkeypatch):
+    rng = random.Random(4)
+    name = lambda: " ".join("".join(rng.choice("abcdeé漢😀\ud800") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 4)))
+    pairs = [(name(), name()) for _ in range(2000)] + [("martha", "marhta"), ("a", "ab"), ("ab", "a"), ("x" * 64, "x" * 63 + "y")] * S.FEW
+    want = [S.jaro_winkler(a, b) for a, b in pairs]
+    one, alone = S.jaro_winkler, []
+    monkeypatch.setattr(S, "jaro_winkler", lambda a, b: alone.append(a) or one(a, b))
+    assert S.jaro_winklers(pairs).tolist() == want
+    assert len(alone) < len(pairs) / 2  # some lengths have too few pairs

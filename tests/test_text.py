@@ -88,3 +88,23 @@ def test_longer_forms_come_first():
 def test_honorifics(spark):
     for text, want in (("dr rao clinic", "rao clinic"), ("shri-sai", "sai"), ("drum shop", "drum shop"), ("messrs. x", "x"), ("m/s abc", "abc"), ("mr mr x", "mr x")):
         assert one(spark, T.without_honorific, text) == want
+
+
+def test_tables_of_letters_give_what_decomposition_gives():
+    texts = ["École ßœ ½ µ", "".join(map(chr, range(256))), "Ångström ﬁ ２ Ǖ", "İΣΑΣ Σ’s", "é ậ ́x", "राम क़ 각", "Œuvre – 5 €", "", "\x85a\xa0b　c", "A&B & é"]
+    marks = {c for lo, hi in V.MARK_RANGES for c in range(lo, hi + 1)}
+    for text in texts:
+        spaced = unicodedata.normalize("NFKC", text).lower().replace("&", " and ")
+        cons = " ".join("".join(" " if c.isspace() or ord(c) < 0x10000 and unicodedata.category(c)[0] in "PS" else c for c in spaced).split())
+        assert T.plain(text) == cons
+        short = " ".join(V.ADDRESS_SHORT.get(w, w) for w in cons.split())
+        bare = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", short) if ord(c) not in marks))
+        assert T.shortened(T.plain_words(text)) == " ".join(bare.split())
+
+
+def test_records_for_keys_are_those_of_preprocess(spark):
+    rows = [(str(k), n, a, c) for k, (n, a, c) in enumerate([("Marina École Sàrl", "12 Boulevard Road é", "France"), ("x", None, None), (None, "́", "US"), ("Apple Inc.", "---", ""), ("Apple Inc.", "3 Allée Blvd", "US"), ("Apple", "3 Allée Blvd", "US")])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = T.for_keys(df)
+    assert not {"addr_conservative", "addr_raw", "name_raw", "business_address"} & set(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, T.preprocess(df).select(got.columns).collect()))
