@@ -5,9 +5,12 @@ All but the eight string similarities are built-in expressions.  Ids are never a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jvm as J
 from ..functions import strings as S
 from ..sources.tables import saved
 from . import keys as K
@@ -26,7 +29,7 @@ NAMES = (
 SIDE = ("country", "name_conservative", "name_normalized", "name_corporate_suffix", "addr_normalized")
 
 #: A pair's rows in one round, for each record that there is: what a round shuffles is in proportion to the records.
-PAIRS_A_RECORD = 2
+PAIRS_A_RECORD = 0.5
 
 
 def _digest(text: Column) -> Column:
@@ -57,14 +60,19 @@ def _num(condition: Column) -> Column:
 
 
 def _jaccard(a: Column, b: Column, both: Column) -> Column:
-    """Of two sets that share so many."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
+    """Of two sets of so many that share so many."""
+    return F.when((a > 0) & (b > 0), both / (a + b - both)).otherwise(0.0)
 
 
 def shared(pairs: DataFrame) -> DataFrame:
-    """pairs with the sets of words of both records, and how much of each set both share."""
-    sets = {f"{p}_{name}": _words(F.col(f"{p}_{of}")) for p in ("a", "b") for name, of in (("addr_set", "addr_words"), ("addr_numbers", "addr_figures"))}
-    return pairs.withColumns(sets).withColumns({f"a_shared_{x}": F.size(F.array_intersect(f"a_{x}", f"b_{x}")) for x in ("name_set", "addr_set", "addr_numbers")})
+    """pairs with the sizes of the sets of words of both records, and how much of each set both share; those of addresses may be there."""
+    sets, of = ["name_set"], {}
+    if "a_count_addr_set" not in pairs.columns:
+        of = {"addr_set": "addr_words", "addr_numbers": "addr_figures"}
+        sets += of
+    pairs = pairs.withColumns({f"{p}_{x}": _words(F.col(f"{p}_{y}")) for p in ("a", "b") for x, y in of.items()}) if of else pairs
+    counts = {f"{p}_count_{x}": F.size(f"{p}_{x}") for p in ("a", "b") for x in sets}
+    return pairs.withColumns(counts | {f"a_shared_{x}": F.size(F.array_intersect(f"a_{x}", f"b_{x}")) for x in sets})
 
 
 def plain_features(pairs: DataFrame) -> dict[str, Column]:
@@ -77,7 +85,7 @@ def plain_features(pairs: DataFrame) -> dict[str, Column]:
     ea, eb = a("addr_blank"), b("addr_blank")
     there = ~ea & ~eb
     both = lambda x: F.col(f"a_shared_{x}")
-    jaccard = lambda x: _jaccard(a(x), b(x), both(x))
+    jaccard = lambda x: _jaccard(a(f"count_{x}"), b(f"count_{x}"), both(x))
 
     def prefix(n: int) -> Column:
         return _num((F.length(ca) >= n) & (F.length(cb) >= n) & (F.substring(ca, 1, n) == F.substring(cb, 1, n)))
@@ -136,8 +144,18 @@ def paired(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFram
 
 
 def _with_sides(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
-    side = lambda df, p, key: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in (*SIDE, *DERIVED)])
-    return pairs.join(side(queries, "a", "s1_id"), "s1_id").join(side(targets, "b", "cand_id"), "cand_id")
+    """Rows of one source-1 record follow each other where the last join sorts."""
+    side = lambda df, p, key: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "entity_id"])
+    return pairs.join(side(targets, "b", "cand_id"), "cand_id").join(side(queries, "a", "s1_id"), "s1_id")
+
+
+def _slim_sides(records: DataFrame, similarities: bool) -> DataFrame:
+    """sides() with each address packed for J.likeness(), or without whole addresses."""
+    if not similarities:
+        return sides(records).withColumn("addr_normalized", F.lit(""))
+    names = [c for c in (*SIDE, *DERIVED) if c not in ("addr_normalized", "addr_words", "addr_figures")]
+    text = F.when(DERIVED["addr_blank"](F.col), "").otherwise(F.col("addr_normalized"))
+    return J.packed(records.select("entity_id", *[DERIVED[c](F.col).alias(c) if c in DERIVED else c for c in names], text.alias("addr_text")), "addr_text")
 
 
 def features_in_rounds(pairs: DataFrame, queries: DataFrame, targets: DataFrame, similarities: bool = True) -> DataFrame:
@@ -146,29 +164,41 @@ def features_in_rounds(pairs: DataFrame, queries: DataFrame, targets: DataFrame,
     A record's texts go along with each of its pairs, so that one join of all pairs would shuffle every
     record as often as it has pairs.  Each round takes the pairs of some source-1 records and removes
     what it shuffled before the next; there are as many rounds as keep that in proportion to the records.
+    Addresses are compared in the JVM, those of one source-1 record together; the values are the same.
     """
-    slim = lambda df: saved(sides(df) if similarities else sides(df).withColumn("addr_normalized", F.lit("")))
-    kept, a, b = saved(pairs), slim(queries), slim(targets)
-    rounds = max(1, -(-kept.count() // max(1, PAIRS_A_RECORD * (a.count() + b.count()))))
+    kept, a, b = saved(pairs), saved(_slim_sides(queries, similarities)), saved(_slim_sides(targets, similarities))
+    rounds = max(1, math.ceil(kept.count() / max(1, PAIRS_A_RECORD * (a.count() + b.count()))))
     of = lambda df, key, k: df.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == k)
-    return saved(*[features(_with_sides(of(kept, "s1_id", k), of(a, "entity_id", k), b), similarities) for k in range(rounds)])
+
+    def made(k: int) -> DataFrame:
+        rows = _with_sides(of(kept, "s1_id", k), of(a, "entity_id", k), b)
+        return features(J.likeness(rows.sortWithinPartitions("s1_id"), "a_addr_text", "b_addr_text") if similarities else rows, similarities)
+
+    return saved(*map(made, range(rounds)))
 
 
 def features(pairs: DataFrame, similarities: bool = True) -> DataFrame:
     """Rows of paired() with the features; methods and score are the metadata, if those columns exist.
 
     Without similarities the features that rest on them are left out, and no row goes to Python.
+    Those of addresses are not made again where J.likeness() has made them.
     """
-    keep = [c for c in pairs.columns if not c.startswith(("a_", "b_"))]
+    keep = [c for c in pairs.columns if not c.startswith(("a_", "b_")) and c not in J.LIKENESS]
+    there_are = [c for c in J.LIKENESS if c in pairs.columns]
     methods = F.col("methods") if "methods" in keep else F.lit(None).cast("array<string>")
     score = F.col("score") if "score" in keep else F.lit(0)
     pairs = shared(pairs)
     df = pairs.withColumns(plain_features(pairs))
     there = F.col("addr_either_empty") == 0
     if similarities:
-        blank = lambda p: F.when(there, F.col(f"{p}_addr_normalized")).otherwise("")
-        df = df.withColumns({"_a": blank("a"), "_b": blank("b")})
-        df = df.withColumns(S.metrics(F.col("a_name_normalized"), F.col("b_name_normalized"), F.col("_a"), F.col("_b")))
+        if there_are:
+            addresses = (F.lit(""), F.lit(""))
+        else:
+            blank = lambda p: F.when(there, F.col(f"{p}_addr_normalized")).otherwise("")
+            df = df.withColumns({"_a": blank("a"), "_b": blank("b")})
+            addresses = (F.col("_a"), F.col("_b"))
+        made = S.metrics(F.col("a_name_normalized"), F.col("b_name_normalized"), *addresses)
+        df = df.withColumns({name: value for name, value in made.items() if name not in there_are})
         high = F.col("name_token_set_ratio")
         df = df.withColumns({
             "name_addr_high_agreement": _num(there & (high >= 0.80) & (F.col("addr_token_set_ratio") >= 0.80)),
